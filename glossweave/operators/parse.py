@@ -114,13 +114,15 @@ def _last_of_chain(chain: Column) -> Column:
 _PLAIN, _IDEM, _ASIDE = "plain", "idem", "aside"
 
 
-def _kind(block: Column) -> Column:
+def _kind(block: Column, position: Column) -> Column:
     """Does the block start a run, continue one, or stand aside from them?"""
-    position = E.split_position(block)
     return (
         F.when(E.is_group(block) | (position == 0), _ASIDE)
         .when(E.headword_at(block, position) == "", _ASIDE)
-        .when(E.is_idem(E.definition_at(block, position)), _IDEM)
+        .when(
+            block.contains("_idem") & E.is_idem(E.definition_at(block, position)),
+            _IDEM,
+        )
         .otherwise(_PLAIN)
     )
 
@@ -130,8 +132,15 @@ def chained_blocks(texts: DataFrame) -> DataFrame:
     text; for an idem block, `prior` holds the blocks of its run before it."""
 
     def labelled(blocks: Column) -> Column:
+        split = F.transform(
+            blocks,
+            lambda b: F.struct(b.alias("block"), E.split_position(b).alias("at")),
+        )
         return F.transform(
-            blocks, lambda b: F.struct(_kind(b).alias("kind"), b.alias("block"))
+            split,
+            lambda x: F.struct(
+                _kind(x["block"], x["at"]).alias("kind"), x["block"].alias("block")
+            ),
         )
 
     def runs(items: Column) -> Column:

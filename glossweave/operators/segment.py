@@ -171,15 +171,15 @@ _END_LINE = "(?md)^[{ws}&&[^\\n]]*{end}[{ws}&&[^\\n]]*$".format(
 )
 
 
-def _block_of_paragraph(paragraph: Column) -> Column:
-    """Block text of a paragraph from its first marked line on, NULL without
-    one."""
-    marked = F.regexp_extract(paragraph, rf"(?sd)(?:\A|\n)({_MARK}.*)\z", 1)
-    plain = trim_ws(F.regexp_replace(marked, rf"[{K.WS}]*\n[{K.WS}]*", " "))
-    braces = trim_ws(F.array_join(F.transform(F.split(marked, "\n"), _piece), ""))
-    return F.when(
-        marked != "", F.when(marked.contains("}"), braces).otherwise(plain)
-    )
+def _marked_part(paragraph: Column) -> Column:
+    """The paragraph from its first marked line on, '' without one."""
+    return F.regexp_extract(paragraph, rf"(?sd)(?:\A|\n)({_MARK}.*)\z", 1)
+
+
+def _block_of_part(marked: Column) -> Column:
+    plain = F.regexp_replace(marked, rf"[{K.WS}]*\n[{K.WS}]*", " ")
+    braces = F.array_join(F.transform(F.split(marked, "\n"), _piece), "")
+    return trim_ws(F.when(marked.contains("}"), braces).otherwise(plain))
 
 
 def block_array(text: Column) -> Column:
@@ -188,9 +188,8 @@ def block_array(text: Column) -> Column:
     before_end = F.get(F.split(unix, _END_LINE, 2), F.lit(0))
     body = F.get(F.split(before_end, "(?md)^[A-Z]+$", 2), F.lit(1))
     paragraphs = F.split(body, rf"\n[{K.WS}]*\n")
-    return F.filter(
-        F.transform(paragraphs, _block_of_paragraph), lambda b: b.isNotNull()
-    )
+    marked = F.filter(F.transform(paragraphs, _marked_part), lambda p: p != "")
+    return F.transform(marked, _block_of_part)
 
 
 def blocks_of_texts(texts: DataFrame) -> DataFrame:

@@ -86,9 +86,10 @@ def parse_lexicon(texts: DataFrame) -> DataFrame:
         .otherwise(F.col("entry.references"))
         .alias("referenced_words"),
     )
-    return listed.select(
-        "*", F.posexplode("words").alias("i", "word")
-    ).select(
+    # the outer form keeps Catalyst from adding a filter on the array's size,
+    # which would compute every form twice
+    exploded = listed.select("*", F.posexplode_outer("words").alias("i", "word"))
+    return exploded.where(F.col("word").isNotNull()).select(
         "doc_id",
         "block_no",
         F.when(group, F.col("i")).otherwise(0).alias("part_no"),
