@@ -64,13 +64,19 @@ def vector_key(c: Column) -> Column:
     return F.regexp_replace(F.translate(F.lower(c), accented, base), "[^a-z ]", "")
 
 
+def simple_upper(letter: Column) -> Column:
+    """Upper case of one letter, unless that takes two letters (as for ß)."""
+    upper = F.upper(letter)
+    return F.when(F.length(upper) == 1, upper).otherwise(letter)
+
+
 def capitalise(c: Column) -> Column:
     """Upper-case the first letter; initial u is printed V, initial U V`."""
     first, rest = F.substring(c, 1, 1), F.substr(c, F.lit(2))
     return (
         F.when(first == "u", F.concat(F.lit("V"), rest))
         .when(first == "U", F.concat(F.lit("V`"), rest))
-        .otherwise(F.concat(F.upper(first), rest))
+        .otherwise(F.concat(simple_upper(first), rest))
     )
 
 
@@ -123,9 +129,8 @@ def decode_term(c: Column) -> Column:
 
 def sparse_text(vector: Column) -> Column:
     """`[{i: v}, ...]` for the positive components in index order."""
-    cells = F.filter(
-        F.transform(vector, lambda v, i: F.struct(i.alias("i"), v.alias("v"))),
-        lambda s: s["v"] > 0,
+    positive = F.filter(
+        F.transform(vector, lambda v, i: F.when(v > 0, i)), lambda i: i.isNotNull()
     )
 
     def number(v: Column) -> Column:
@@ -135,9 +140,9 @@ def sparse_text(vector: Column) -> Column:
         )
 
     text = F.transform(
-        cells,
-        lambda s: F.concat(
-            F.lit("{"), s["i"].cast("string"), F.lit(": "), number(s["v"]), F.lit("}")
+        positive,
+        lambda i: F.concat(
+            F.lit("{"), i.cast("string"), F.lit(": "), number(F.get(vector, i)), F.lit("}")
         ),
     )
     return F.concat(F.lit("["), F.array_join(text, ", "), F.lit("]"))

@@ -48,6 +48,7 @@ def _capital(x: str) -> str:
     return (
         f"CASE WHEN startswith({x}, 'u') THEN concat('V', substring({x}, 2))"
         f" WHEN startswith({x}, 'U') THEN concat('V`', substring({x}, 2))"
+        f" WHEN length(upper(left({x}, 1))) > 1 THEN {x}"
         f" ELSE concat(upper(left({x}, 1)), substring({x}, 2)) END"
     )
 

@@ -10,7 +10,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossweave.session import shuffle_partitions
+from glossweave.session import spread
 
 BROADCAST_QUERIES = 4_096
 QUERY_BLOCK = 2_048
@@ -157,8 +157,7 @@ def _score(queries, items, k, broadcast_queries, q_block, item_block, by_group=F
                         names=["query_id", "vec_id", "score"],
                     )
 
-        spread = items.repartition(shuffle_partitions(spark), "vec_id")
-        return spread.mapInArrow(score, SCHEMA)
+        return spread(items, "vec_id").mapInArrow(score, SCHEMA)
     n_q, n_i = queries.count(), items.count()
     left_n, right_n = -(-n_q // q_block), max(1, -(-n_i // item_block))
     left = queries.select(

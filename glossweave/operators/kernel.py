@@ -46,6 +46,16 @@ def unit_free_norm2(matrix: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", wide, wide)
 
 
+def rounded(cosine: np.ndarray) -> np.ndarray:
+    return np.floor(cosine * 1e6 + 0.5) / 1e6
+
+
+def pair_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Score of each row of `a` with the same row of `b`."""
+    dots = np.einsum("ij,ij->i", a, b, dtype=np.float64)
+    return rounded(dots / np.sqrt(unit_free_norm2(a) * unit_free_norm2(b)))
+
+
 class QueryBlock:
     """A block of query vectors with the best score floor seen so far."""
 
@@ -65,7 +75,7 @@ class QueryBlock:
         norms = np.sqrt(unit_free_norm2(items)[:, None] * self.norm2[None, :])
         with np.errstate(divide="ignore", invalid="ignore"):
             cosine = dots / norms
-        cosine = np.floor(cosine * 1e6 + 0.5) / 1e6
+        cosine = rounded(cosine)
         cosine[~np.isfinite(cosine)] = -np.inf
         if self.threshold is not None:
             low = (

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossweave import constants as K
-from glossweave.functions.grams import gram_counts, signature
+from glossweave.functions.grams import char_grams, gram_counts, signature
 from glossweave.functions.text import (
     html_brackets,
     italic_toggle,
@@ -27,8 +27,8 @@ from glossweave.functions.text import (
     printable_normalised,
     vector_key,
 )
-from glossweave.operators.kernel import QueryBlock, gram_matrix
-from glossweave.session import shuffle_partitions
+from glossweave.operators.kernel import QueryBlock, gram_matrix, pair_scores
+from glossweave.session import spread
 
 BROADCAST_QUERIES = 8_192
 QUERY_BLOCK = 4_096
@@ -46,12 +46,6 @@ def query_keys(queries: DataFrame, term_col: str = "term") -> DataFrame:
     return queries.withColumn("q_key", vector_key(F.col(term_col)))
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """Distinct keys over all tasks: scoring is heavy on few bytes, so the
-    partition count must not follow the data size down."""
-    return df.repartition(shuffle_partitions(df.sparkSession), "key")
-
-
 def _score_sorted(block: QueryBlock, q_names, names: list[str]):
     names = sorted(names)
     step = block.rows_per_step()
@@ -91,7 +85,7 @@ def _score_few(q_list, keys: DataFrame, k, threshold, inclusive) -> DataFrame:
                     names=["q_key", "key", "score"],
                 )
 
-    return _spread(keys).mapInArrow(score, KEY_SCORES)
+    return spread(keys, "key").mapInArrow(score, KEY_SCORES)
 
 
 def _blocks(df: DataFrame, name: str, size: int, count: int) -> tuple[DataFrame, int]:
@@ -162,7 +156,7 @@ def cosine_postings(
     q_keys: DataFrame, keys: DataFrame, threshold: float = K.SCORE_THRESHOLD
 ) -> DataFrame:
     """(q_key, key, score) of all pairs scoring at least `threshold`, by an
-    inverted index in plain joins.
+    inverted index.
 
     Only a prefix of each vector is indexed: grams in one fixed order, rare
     ones first, until the rest is too short to reach the threshold alone. Two
@@ -171,35 +165,33 @@ def cosine_postings(
     scored once. A frequent gram is late in the order and seldom in a prefix.
     """
     both = q_keys.select(F.col("q_key").alias("key")).unionByName(keys.select("key"))
-    frequency = (
-        both.select(F.inline(gram_counts(F.col("key"))))
+    # bounded by the alphabet: at most 29 + 29 * 29 grams
+    order = (
+        both.select(F.explode(F.array_distinct(char_grams(F.col("key")))).alias("gram"))
         .groupBy("gram")
         .agg(F.count("*").alias("n"))
-    )
-    # bounded by the alphabet: at most 29 + 29 * 29 grams
-    order = frequency.agg(
-        F.map_from_entries(F.collect_list(F.struct("gram", "n"))).alias("n_by_gram")
+        .agg(F.map_from_entries(F.collect_list(F.struct("gram", "n"))).alias("n_of"))
     )
 
     def indexed(df: DataFrame, name: str) -> DataFrame:
-        counted = df.crossJoin(F.broadcast(order)).select(
-            F.col(name),
-            F.array_sort(
-                F.transform(
-                    gram_counts(F.col(name)),
-                    lambda g: F.struct(
-                        F.element_at("n_by_gram", g["gram"]).alias("n"),
-                        g["gram"].alias("gram"),
-                        g["tf"].cast("bigint").alias("tf"),
-                    ),
-                )
-            ).alias("grams"),
+        rare_first = F.array_sort(
+            F.transform(
+                gram_counts(F.col(name)),
+                lambda g: F.struct(
+                    F.element_at("n_of", g["gram"]).alias("n"),
+                    g["gram"].alias("gram"),
+                    g["tf"].alias("tf"),
+                ),
+            )
         )
-        norm2 = F.aggregate(
-            "grams", F.lit(0).cast("bigint"), lambda s, g: s + g["tf"] * g["tf"]
+        counted = spread(df.select(name), name).crossJoin(F.broadcast(order)).select(
+            name, rare_first.alias("grams")
         )
+        norm2 = F.aggregate("grams", F.lit(0), lambda s, g: s + g["tf"] * g["tf"])
         counted = counted.withColumn("norm2", norm2)
-        # squared length of the vector from each gram on
+        # a gram is indexed while the vector from it on could reach the
+        # threshold; a hair below it, since scores are rounded
+        least = F.col("norm2") * (max(threshold - 1e-6, 0.0) ** 2)
         prefix = F.aggregate(
             "grams",
             F.struct(
@@ -207,43 +199,40 @@ def cosine_postings(
             ),
             lambda acc, g: F.struct(
                 (acc["rest"] - g["tf"] * g["tf"]).alias("rest"),
-                F.when(
-                    # a hair below the threshold, for rounded scores
-                    acc["rest"] >= F.col("norm2") * (threshold - 1e-6) ** 2,
-                    F.concat(acc["p"], F.array(g["gram"])),
-                )
+                F.when(acc["rest"] >= least, F.concat(acc["p"], F.array(g["gram"])))
                 .otherwise(acc["p"])
                 .alias("p"),
             ),
             lambda acc: acc["p"],
         )
-        counted = counted.withColumn("prefix", prefix)
-        return counted.select(
-            F.col(name),
-            F.col("norm2").alias(f"{name}_norm2"),
-            F.map_from_entries(
-                F.transform("grams", lambda g: F.struct(g["gram"], g["tf"]))
-            ).alias(f"{name}_tf"),
-            F.col("prefix").alias(f"{name}_prefix"),
-            F.explode("prefix").alias("gram"),
+        return counted.select(name, prefix.alias(f"{name}_prefix")).select(
+            name, f"{name}_prefix", F.explode(f"{name}_prefix").alias("gram")
         )
 
-    pairs = indexed(q_keys, "q_key").join(indexed(keys, "key"), "gram")
     shared = F.array_intersect("q_key_prefix", "key_prefix")
-    dot = F.aggregate(
-        F.map_entries("q_key_tf"),
-        F.lit(0).cast("bigint"),
-        lambda s, e: s
-        + e["value"]
-        * F.coalesce(F.try_element_at("key_tf", e["key"]), F.lit(0).cast("bigint")),
-    )
-    raw = dot / F.sqrt((F.col("q_key_norm2") * F.col("key_norm2")).cast("double"))
-    return (
-        pairs.where(F.get(shared, F.lit(0)) == F.col("gram"))
-        .select("q_key", "key", (F.floor(raw * 1e6 + 0.5) / 1e6).alias("score"))
-        .where(F.col("score") >= threshold)
+    pairs = (
+        indexed(keys, "key")
+        .join(indexed(q_keys, "q_key"), "gram")
+        .where(F.get(shared, F.lit(0)) == F.col("gram"))
+        .select("q_key", "key")
     )
 
+    def score(batches):
+        for batch in batches:
+            q, items = batch.column("q_key"), batch.column("key")
+            for at in range(0, batch.num_rows, 2048):
+                a, b = q.slice(at, 2048), items.slice(at, 2048)
+                value = pair_scores(
+                    gram_matrix(a.to_pylist()), gram_matrix(b.to_pylist())
+                )
+                keep = pa.array(value >= threshold)
+                yield pa.RecordBatch.from_arrays(
+                    [a.filter(keep), b.filter(keep), pa.array(value).filter(keep)],
+                    names=["q_key", "key", "score"],
+                )
+
+    return pairs.mapInArrow(score, KEY_SCORES)
+
 
 # --- queries against a lexicon ---------------------------------------------
 

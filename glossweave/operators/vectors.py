@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from glossweave.functions.grams import char_grams, gram_counts
 from glossweave.functions.text import sparse_text, vector_key
 from glossweave.operators.kernel import DIMS, gram_index, gram_matrix
+from glossweave.session import spread
 
 
 def distinct_keys(entries: DataFrame, word_col: str = "word") -> DataFrame:
@@ -74,7 +75,7 @@ def dense_vectors(keys: DataFrame, vocabulary: DataFrame) -> DataFrame:
                     names=["key", "vector"],
                 )
 
-    return keys.select("key").mapInArrow(to_vectors, "key string, vector array<float>")
+    return spread(keys.select("key"), "key").mapInArrow(to_vectors, "key string, vector array<float>")
 
 
 def vector_once_per_key(
@@ -109,15 +110,3 @@ def sample_nonzero_check(
             F.count(F.when(~positive, 1)).alias("zero_vectors"),
         )
     )
-
-
-__all__ = [
-    "dense_vectors",
-    "distinct_keys",
-    "fit_vocabulary",
-    "model_card",
-    "sample_nonzero_check",
-    "term_frequencies",
-    "vector_once_per_key",
-    "vector_report",
-]
