@@ -248,7 +248,8 @@ def add(**statements: str) -> None:
     SQL.update({k: v.strip() for k, v in statements.items()})
 
 
-REFS_TEXT = "array_to_string(refs,'|') refs"
+# a list of one NULL has no text in DuckDB and the empty text in Spark
+REFS_TEXT = "coalesce(array_to_string(refs,'|'),'') refs"
 
 # --- sources and sinks -----------------------------------------------------
 
@@ -265,9 +266,9 @@ from (select doc_id, string_split(replace(replace(text, chr(13)||chr(10), chr(10
     snk3_json_payload=f"{LEX} select entry_id, word, definition, {REFS_TEXT} from lex",
     snk4_export_by_letter=f"""{LEX}
 select nullif(upper(left(strip_accents(lower(replace(replace(word,'[',''),']',''))),1)),'') letter,
-       word, definition, array_to_string(refs, chr(10)) refs from lex""",
+       word, definition, coalesce(array_to_string(refs, chr(10)),'') refs from lex""",
     snk5_upsert_by_id=f"""{LEX}
-select entry_id, word, case when starts_with(definition,'_as_') then upper(definition)
+select entry_id, word, case when starts_with(definition,'_as_') then 'changed '||definition
                             else definition end definition from lex""",
     snk6_index_on_word=f"{LEX} select word, count(*) n from lex group by word",
 )
@@ -307,7 +308,7 @@ select doc_id, block_no, case when contains(block,'}}') then 'group_no_definitio
 from lb where (contains(block,'}}') and trim(replace(regexp_replace(block,'^.*?[}}]',''),'}}','')) = '')
            or (not contains(block,'}}') and (mark_at = 0 or w = ''))""",
     par5_parse_group=f"with {BLOCKS}{GROUPS} select doc_id, block_no, part_no, word, definition from grouped",
-    par6_resolve_idem=f"with {RESOLVED} select doc_id, block_no, word_raw, definition, array_to_string(refs,'|') \"references\" from resolved",
+    par6_resolve_idem=f"with {RESOLVED} select doc_id, block_no, word_raw, definition, {REFS_TEXT} from resolved",
     par7_extract_references=f"with {REFS} select doc_id, block_no, {REFS_TEXT} from refd",
     par8_distinct_references=f"""
 with t as (select page_id, regexp_extract_all({TITLE}, '{WORD}') w from pages)
@@ -318,7 +319,7 @@ select doc_id, block_no, (unnest(range(len(forms))))::int variant_no, unnest(for
     par10_variants=f"""
 with t as (select list_transform(regexp_extract_all(text,'{WORD}'), lambda x: lower(x)) w from documents),
 n as (select unnest(w[:-2]) a, unnest(w[2:]) b from t where len(w) > 1),
-pr as (select distinct upper(a[1])||substr(a,2)||', '||b raw from n){two_forms('pr', 'fv')}
+pr as (select distinct case when a[1] = 'ß' then 'ß' else upper(a[1]) end||substr(a,2)||', '||b raw from n){two_forms('pr', 'fv')}
 select raw, array_to_string(forms,'|') forms from fv""",
     par11_char_variants="""
 with t as (select distinct unnest(string_split(lower(text),'')) c from documents),

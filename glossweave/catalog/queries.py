@@ -26,7 +26,7 @@ from glossweave.plans.lexicon import (
     parse_lexicon_lines,
     with_key,
 )
-from glossweave.session import scratch_path
+from glossweave.session import scratch_path, spread
 from glossweave.sources.lines import (
     lines_from_table,
     read_lexicon,
@@ -200,7 +200,7 @@ def snk5_upsert_by_id(spark, d):
     """References become the changed entries; search entries keep theirs."""
     lex = stored_lexicon(spark, d).select("entry_id", "word", "definition")
     changes = lex.where(F.col("definition").startswith("_as_")).withColumn(
-        "definition", F.upper("definition")
+        "definition", F.concat(F.lit("changed "), "definition")
     )
     return W.upsert_by_id(lex, changes, "entry_id")
 
@@ -346,12 +346,15 @@ def par10_variants(spark, d):
             F.transform(
                 F.slice("w", F.lit(2), F.size("w")),
                 lambda x, i: F.concat(
-                    F.initcap(F.get("w", i)), F.lit(", "), x
+                    T.simple_upper(F.substring(F.get("w", i), 1, 1)),
+                    F.substr(F.get("w", i), F.lit(2)),
+                    F.lit(", "),
+                    x,
                 ),
             )
         ).alias("raw")
     ).distinct()
-    return pairs.select("raw", F.array_join(variants("raw"), "|").alias("forms"))
+    return spread(pairs, "raw").select("raw", F.array_join(variants("raw"), "|").alias("forms"))
 
 
 @query

@@ -263,10 +263,9 @@ def resolve_idem(entries: DataFrame, chunk: int = CHUNK_LINES) -> DataFrame:
         "items", F.array().cast(f"array<{ENTRY_STRUCT}>"), extend
     )
     resolved = (
-        gathered.select("doc_id", "items", folded.alias("done"))
-        .select(
+        gathered.select(
             "doc_id",
-            F.posexplode("done").alias("k", "e"),
+            F.posexplode(folded).alias("k", "e"),
             F.transform("items", lambda x: x["block_no"]).alias("at"),
         )
         .select("doc_id", F.get("at", F.col("k")).alias("block_no"), "e.*")

@@ -205,8 +205,10 @@ def cosine_postings(
             ),
             lambda acc: acc["p"],
         )
+        # outer: a plain explode would add a filter that computes the prefix
+        # again; no key has an empty one
         return counted.select(name, prefix.alias(f"{name}_prefix")).select(
-            name, f"{name}_prefix", F.explode(f"{name}_prefix").alias("gram")
+            name, f"{name}_prefix", F.explode_outer(f"{name}_prefix").alias("gram")
         )
 
     shared = F.array_intersect("q_key_prefix", "key_prefix")

@@ -25,9 +25,11 @@ def term_frequencies(keys: DataFrame, markers: bool = True) -> DataFrame:
     norm2 = F.aggregate(
         "grams", F.lit(0).cast("bigint"), lambda s, g: s + g["tf"] * g["tf"]
     )
-    return counted.select(
-        "key", norm2.alias("norm2"), F.inline("grams")
-    ).select("key", "gram", F.col("tf").cast("bigint").alias("tf"), "norm2")
+    # outer: a plain inline would add a filter that counts the grams again
+    rows = counted.select("key", norm2.alias("norm2"), F.inline_outer("grams"))
+    return rows.where(F.col("gram").isNotNull()).select(
+        "key", "gram", F.col("tf").cast("bigint").alias("tf"), "norm2"
+    )
 
 
 def fit_vocabulary(keys: DataFrame, markers: bool = True) -> DataFrame:
