@@ -190,16 +190,23 @@ def cosine_postings(
         norm2 = F.aggregate("grams", F.lit(0), lambda s, g: s + g["tf"] * g["tf"])
         counted = counted.withColumn("norm2", norm2)
         # a gram is indexed while the vector from it on could reach the
-        # threshold; a hair below it, since scores are rounded
-        least = F.col("norm2") * (max(threshold - 1e-6, 0.0) ** 2)
+        # threshold; a hair below it, since scores are rounded. The bound rides
+        # in the fold's state, so that no step computes it again.
+        share = max(threshold - 1e-6, 0.0) ** 2
         prefix = F.aggregate(
             "grams",
             F.struct(
-                F.col("norm2").alias("rest"), F.array().cast("array<string>").alias("p")
+                F.col("norm2").alias("rest"),
+                (F.col("norm2") * share).alias("least"),
+                F.array().cast("array<string>").alias("p"),
             ),
             lambda acc, g: F.struct(
                 (acc["rest"] - g["tf"] * g["tf"]).alias("rest"),
-                F.when(acc["rest"] >= least, F.concat(acc["p"], F.array(g["gram"])))
+                acc["least"].alias("least"),
+                F.when(
+                    acc["rest"] >= acc["least"],
+                    F.concat(acc["p"], F.array(g["gram"])),
+                )
                 .otherwise(acc["p"])
                 .alias("p"),
             ),
@@ -211,11 +218,14 @@ def cosine_postings(
             name, f"{name}_prefix", F.explode_outer(f"{name}_prefix").alias("gram")
         )
 
-    shared = F.array_intersect("q_key_prefix", "key_prefix")
+    # coalesce: no not-null filter on the prefixes, which would compute them again
+    first_shared = F.coalesce(
+        F.get(F.array_intersect("q_key_prefix", "key_prefix"), F.lit(0)), F.lit("")
+    )
     pairs = (
         indexed(keys, "key")
         .join(indexed(q_keys, "q_key"), "gram")
-        .where(F.get(shared, F.lit(0)) == F.col("gram"))
+        .where(first_shared == F.col("gram"))
         .select("q_key", "key")
     )
 
