@@ -20,7 +20,8 @@ def with_entry_ids(df: DataFrame, order: list[str], name: str = "entry_id") -> D
     numbered from an offset worked out on one row per task. The lineage is cut
     because ids must not change if a task is computed again.
     """
-    placed = df.orderBy(*order).withColumns(
+    # finding the sort ranges reads the input once more: read it from storage
+    placed = cut_lineage(df).orderBy(*order).withColumns(
         {"_task": F.spark_partition_id(), "_id": F.monotonically_increasing_id()}
     )
     fixed = cut_lineage(placed.withColumn("_row", F.col("_id").bitwiseAND(ROW_MASK)))
