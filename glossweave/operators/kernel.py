@@ -41,9 +41,16 @@ def gram_matrix(keys: list[str]) -> np.ndarray:
     return counts.astype(np.float32).reshape(len(keys), DIMS)
 
 
+def exact(matrix: np.ndarray) -> np.ndarray:
+    """The counts in a type that adds their products exactly: floats of 32 bits
+    hold whole numbers below 2^24, so rows summing to less than 4,096 are safe."""
+    if matrix.size and matrix.sum(axis=1).max() >= 4096:
+        return matrix.astype(np.float64)
+    return matrix
+
+
 def unit_free_norm2(matrix: np.ndarray) -> np.ndarray:
-    wide = matrix.astype(np.float64)
-    return np.einsum("ij,ij->i", wide, wide)
+    return np.einsum("ij,ij->i", matrix, matrix).astype(np.float64)
 
 
 def rounded(cosine: np.ndarray) -> np.ndarray:
@@ -52,7 +59,8 @@ def rounded(cosine: np.ndarray) -> np.ndarray:
 
 def pair_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Score of each row of `a` with the same row of `b`."""
-    dots = np.einsum("ij,ij->i", a, b, dtype=np.float64)
+    a, b = exact(a), exact(b)
+    dots = np.einsum("ij,ij->i", a, b).astype(np.float64)
     return rounded(dots / np.sqrt(unit_free_norm2(a) * unit_free_norm2(b)))
 
 
@@ -60,6 +68,7 @@ class QueryBlock:
     """A block of query vectors with the best score floor seen so far."""
 
     def __init__(self, matrix: np.ndarray, k: int, threshold=None, inclusive=True):
+        matrix = exact(matrix)
         self.matrix = np.ascontiguousarray(matrix.T)
         self.norm2 = unit_free_norm2(matrix)
         self.k = k
@@ -71,6 +80,7 @@ class QueryBlock:
         return int(max(1, min(2048, SCORE_CELLS // max(1, len(self.norm2)))))
 
     def scores(self, items: np.ndarray) -> np.ndarray:
+        items = exact(items)
         dots = (items @ self.matrix).astype(np.float64)
         norms = np.sqrt(unit_free_norm2(items)[:, None] * self.norm2[None, :])
         with np.errstate(divide="ignore", invalid="ignore"):
