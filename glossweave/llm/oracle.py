@@ -33,7 +33,7 @@ _MEASURES = {
     "mean_word_chars": "word_chars / n_words",
     "symbols_per_word": "n_symbols / n_words",
     "marks_per_word": "n_marks / n_words",
-    "stop_word_ratio": "n_stop_words / n_words",
+    "stop_word_ratio": "(n_stop_words + 1) / n_words",
     "dup_line_ratio": "n_dup_lines / n_lines",
 }
 

@@ -46,8 +46,8 @@ RULES = (
     Rule("word_length", "mean_word_chars", 2.0, 15.0),
     Rule("symbols", "symbols_per_word", high=0.1),
     Rule("marks", "marks_per_word", high=0.5),
-    Rule("stop_words", "stop_word_ratio", 0.05),
-    Rule("repeated_lines", "dup_line_ratio", high=0.3),
+    Rule("stop_words", "stop_word_ratio", 0.03),
+    Rule("repeated_lines", "dup_line_ratio", high=0.5),
 )
 
 
@@ -135,7 +135,10 @@ def measured(docs: DataFrame, text_column: str = "text") -> DataFrame:
                 "mean_word_chars": per("word_chars", "n_words"),
                 "symbols_per_word": per("n_symbols", "n_words"),
                 "marks_per_word": per("n_marks", "n_words"),
-                "stop_word_ratio": per("n_stop_words", "n_words"),
+                # one more than found: a few words need not have one
+                "stop_word_ratio": F.when(F.col("n_words") == 0, F.lit(0.0)).otherwise(
+                    (F.col("n_stop_words") + 1) / F.col("n_words")
+                ),
                 "dup_line_ratio": per("n_dup_lines", "n_lines"),
             }
         )
