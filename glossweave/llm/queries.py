@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossweave.llm import line_dedup, mixing, quality_rules, url_filter
+from glossweave.llm import chat, fingerprints, line_dedup, mixing, quality_rules, url_filter
 from glossweave.llm.oracle import SQL
 from glossweave.session import ship_package
 
@@ -38,6 +38,17 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+@query
+def op1_format_chat(spark, d):
+    """Hashes of what the formatted windows of each conversation hold."""
+    own = spark.createDataFrame(
+        [(-7, turn, role, "</s>[INST] ok [/INST]") for turn, role in enumerate(("user", "assistant"))],
+        "conv_id long, turn long, role string, text string",
+    )
+    given = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digests(chat.windows(given.unionByName(own)))
+
+
 @query
 def op2_line_dedup(spark, d):
     """Boilerplate lines of each source dropped from its documents."""
@@ -56,6 +67,12 @@ def op3_quality_rules(spark, d):
     )
 
 
+@query
+def op4_fingerprints(spark, d):
+    """Fingerprint of every document beside that of its edited text."""
+    return fingerprints.compare_edited(table(spark, d, "documents"))
+
+
 @query
 def op5_url_filter(spark, d):
     """Verdict on the url of every page."""
