@@ -32,7 +32,7 @@ from glossweave.session import cut_lineage
 PERIOD = 1024
 BLOCK_DOCS = 1
 MAX_SHARE = 0.25
-BUCKET_DOCS = 50_000
+BUCKET_DOCS = 4_096
 RESULTS = ("n_in_source", "block", "slot", "position", "mixed")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossweave.llm import chat, fingerprints, line_dedup, mixing, quality_rules, url_filter
+from glossweave.llm import chat, fingerprints, line_dedup, mixing, quality_model, quality_rules, url_filter
 from glossweave.llm.oracle import SQL
 from glossweave.session import ship_package
 
@@ -90,5 +90,11 @@ def op6_mix_sources(spark, d):
     )
 
 
+@query
+def op9_quality_classifier(spark, d):
+    """Score and class of every document."""
+    return quality_model.classify(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
