@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossweave.llm import chat, fingerprints, line_dedup, mixing, quality_model, quality_rules, url_filter
+from glossweave.llm import chat, fingerprints, line_dedup, mixing, ppm, quality_model, quality_rules, url_filter
 from glossweave.llm.oracle import SQL
 from glossweave.session import ship_package
 
@@ -90,6 +90,16 @@ def op6_mix_sources(spark, d):
     )
 
 
+@query
+def op7_lm_score(spark, d):
+    """Word base and PPM score of every document."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    held_out = quality_model.fold("doc_id", 7) == 2
+    return ppm.score(docs, docs.where(~held_out)).select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 @query
 def op9_quality_classifier(spark, d):
     """Score and class of every document."""
