@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossweave.llm import chat, fingerprints, line_dedup, mixing, ppm, quality_model, quality_rules, url_filter
+from glossweave.llm import bpe, chat, fingerprints, line_dedup, mixing, ppm, quality_model, quality_rules, url_filter
 from glossweave.llm.oracle import SQL
 from glossweave.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 
+RANK_FILE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 # Host, path and verdict of the production url rules.
 URL_RULES = [
     ("com", "/", "allow"),
@@ -106,5 +108,11 @@ def op9_quality_classifier(spark, d):
     return quality_model.classify(table(spark, d, "documents"), table(spark, d, "labels"))
 
 
+@query
+def op10_byte_bpe(spark, d):
+    """Ids of every document, and its bytes decoded from them."""
+    return bpe.digests(table(spark, d, "documents"), RANK_FILE, public_tokenizers.PATTERN)
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
