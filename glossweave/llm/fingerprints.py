@@ -187,11 +187,14 @@ def _in_order(docs: DataFrame, buckets: int) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), bucket.alias("bucket"))
     firsts = dict(rows.groupBy("bucket").agg(F.max("doc_id")).collect())  # one row per bucket
     held = sorted(firsts)
-    border = F.lit(None).cast("int")
-    for before, after in zip([held[-1], *held[:-1]] if held else [], held):
-        border = F.when(
-            (F.col("bucket") == after) & F.col("doc_id").eqNullSafe(F.lit(firsts[after])), before
-        ).otherwise(border)
+    before = dict(zip(held, [held[-1:][0], *held[:-1]])) if held else {}
+    slots = range(held[-1] + 1 if held else 1)
+
+    def by_bucket(values: list) -> Column:
+        return F.get(F.array(*(F.lit(v).cast("long") for v in values)), F.col("bucket"))
+
+    is_first = F.col("doc_id").eqNullSafe(by_bucket([firsts.get(k) for k in slots]))
+    border = F.when(is_first, by_bucket([before.get(k) for k in slots])).cast("int")
     goes_to = F.filter(
         F.array(
             F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("border")),
@@ -261,5 +264,5 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     """Each document against its edited text (the last third, rounded down,
     replaced by the beginning of the next document) and the next document, in
     descending doc_id; the first follows the last."""
-    buckets = 4 * shuffle_partitions(docs.sparkSession)
+    buckets = 2 * shuffle_partitions(docs.sparkSession)
     return _in_order(docs, buckets).mapInArrow(_compared, PAIRS)
