@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossweave.llm import bpe, chat, fingerprints, line_dedup, mixing, ppm, quality_model, quality_rules, url_filter
+from glossweave.llm import bpe, chat, fingerprints, jaccard, line_dedup, mixing, ppm, quality_model, quality_rules, url_filter
 from glossweave.llm.oracle import SQL
 from glossweave.session import ship_package
 
@@ -102,6 +102,12 @@ def op7_lm_score(spark, d):
     )
 
 
+@query
+def op8_jaccard_join(spark, d):
+    """Set size and component of every document."""
+    return jaccard.components(table(spark, d, "documents"))
+
+
 @query
 def op9_quality_classifier(spark, d):
     """Score and class of every document."""
