@@ -33,8 +33,10 @@ import regex
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from glossweave.llm.arrow_text import slices, text_column
+from glossweave.llm.columns import guarded
 from glossweave.llm.ppm import Table
 from glossweave.session import cut_lineage
 
@@ -256,8 +258,6 @@ def _shared(docs: DataFrame, rank_file: str, pattern: str, share: int):
 def encode(docs: DataFrame, rank_file: str, pattern: str, share: int = PIECE_SHARE) -> DataFrame:
     """`docs` with ids (array<int>)."""
     shared = _shared(docs, rank_file, pattern, share)
-    docs = docs.drop("ids")
-    columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(*shared.value)
@@ -266,11 +266,13 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, share: int = PIECE_SHA
                 made = encoder.encode(text_column(part, "text").to_pylist())
                 ids = [list(map(int, m.split(","))) if m else [] for m in made]
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*columns, "ids"]
+                    [*part.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*part.schema.names, "ids"]
                 )
 
-    schema = docs.schema.add("ids", "array<int>")
-    return docs.mapInArrow(run, schema)
+    def encoded(d: DataFrame) -> DataFrame:
+        return d.mapInArrow(run, StructType([*d.schema.fields, StructField("ids", ArrayType(IntegerType()))]))
+
+    return guarded(docs, ["text"], encoded, ["ids"])
 
 
 def decode(ids: DataFrame, rank_file: str) -> DataFrame:

@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glossweave.llm.columns import guarded
 from glossweave.session import cut_lineage
 
 RATIO = 0.05
@@ -75,9 +76,19 @@ def drop_boilerplate(
     size = lines.agg(
         F.coalesce(F.sum(F.aggregate("_drop", F.lit(0), lambda a, x: a + 16 + F.octet_length(x))), F.lit(0))
     ).first()[0]
-    pages = docs.drop("n_lines", "n_dropped")
+    return guarded(
+        docs,
+        [host_column, text_column],
+        lambda pages: _cleaned(pages, lines, size <= broadcast_bytes, host_column, text_column, salts),
+        ["n_lines", "n_dropped"],
+    )
+
+
+def _cleaned(
+    pages: DataFrame, lines: DataFrame, small: bool, host_column: str, text_column: str, salts: int
+) -> DataFrame:
     same = F.col(host_column).eqNullSafe(F.col("_host"))
-    if size <= broadcast_bytes:
+    if small:
         joined = pages.join(F.broadcast(lines), same, "left")
     else:
         salted = lines.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

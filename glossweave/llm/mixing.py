@@ -27,6 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glossweave.llm.columns import guarded
 from glossweave.session import cut_lineage
 
 PERIOD = 1024
@@ -155,10 +156,8 @@ def mix(
 ) -> DataFrame:
     """`docs` with n_in_source, block, slot, position and mixed. Ordered by
     position, the mixed rows are the interleaved corpus."""
-    docs = docs.drop(*RESULTS)
-    natural = target_weights(docs, max_share)
     if weights is None:
-        target = natural
+        target = target_weights(docs, max_share)
     else:
         target = weights.join(
             docs.groupBy(F.col("source").alias("_s")).agg(F.count("*").alias("n_docs")),
@@ -189,6 +188,12 @@ def mix(
             F.sort_array(F.collect_list(F.struct("turn", "_slot"))), lambda x: x["_slot"]
         ).alias("_slots")
     )))
+    return guarded(
+        docs, ["doc_id", "source"], lambda d: _placed(d, table, period, block_docs, bucket_docs), RESULTS
+    )
+
+
+def _placed(docs: DataFrame, table: DataFrame, period: int, block_docs: int, bucket_docs: int) -> DataFrame:
     block = F.floor(F.col("n_in_source") / block_docs)
     return (
         numbered(docs, bucket_docs)
@@ -212,7 +217,9 @@ def mix(
 def interleaved(docs: DataFrame, partitions: int, **options) -> DataFrame:
     """The mixed documents, in files and rows ordered by position, with the
     columns they came with."""
-    mixed = mix(docs, **options).where("mixed")
-    return (
-        mixed.repartitionByRange(partitions, "position").sortWithinPartitions("position").drop(*RESULTS)
-    )
+
+    def ordered(d: DataFrame) -> DataFrame:
+        mixed = mix(d, **options).where("mixed")
+        return mixed.repartitionByRange(partitions, "position").sortWithinPartitions("position")
+
+    return guarded(docs, ["doc_id", "source"], ordered)

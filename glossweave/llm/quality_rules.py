@@ -21,6 +21,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glossweave.llm.columns import guarded
+
 WORD_GAP = r"[ \t-\r]+"
 WINDOW = 5
 
@@ -41,7 +43,7 @@ class Rule:
     high: float = float("inf")
 
 
-#: Ranges that a good text keeps. Measures are columns of `measured`.
+#: Ranges that a good text keeps. Measures are those of `MEASURES`.
 RULES = (
     Rule("word_length", "mean_word_chars", 2.0, 15.0),
     Rule("symbols", "symbols_per_word", high=0.1),
@@ -95,7 +97,14 @@ def _repeated(words: Column) -> Column:
     )
 
 
-def measured(docs: DataFrame, text_column: str = "text") -> DataFrame:
+MEASURES = (
+    "n_words", "n_stop_words", "n_repeat_words", "n_lines", "n_dup_lines", "word_chars",
+    "n_symbols", "n_marks", "mean_word_chars", "symbols_per_word", "marks_per_word",
+    "stop_word_ratio", "dup_line_ratio",
+)
+
+
+def _measured(docs: DataFrame, text_column: str) -> DataFrame:
     """`docs` with all measures."""
     text = F.coalesce(F.col(text_column), F.lit(""))
     words = F.filter(F.split(text, WORD_GAP), lambda w: w != "")
@@ -152,4 +161,10 @@ def judge(docs: DataFrame, rules=RULES, text_column: str = "text") -> DataFrame:
     kept = ~base
     for test in passed.values():
         kept = kept & test
-    return measured(docs, text_column).withColumns({"base_failed": base, **passed, "kept": kept})
+    verdicts = {"base_failed": base, **passed, "kept": kept}
+    return guarded(
+        docs,
+        [text_column],
+        lambda d: _measured(d, text_column).withColumns(verdicts),
+        [*MEASURES, *verdicts],
+    )

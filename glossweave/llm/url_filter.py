@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glossweave.llm.columns import guarded
+
 #: Rules that may travel with the tasks: some hundred bytes each in a worker.
 MAX_TRIE_RULES = 200_000
 
@@ -109,14 +111,20 @@ def judge(
 ) -> DataFrame:
     """`urls` with host, path, rule (null if none fits) and verdict."""
     rules = rules.select("host", "path", "verdict").distinct()
-    host, path = host_and_path(F.col(url_column))
-    found = urls.withColumns({"host": host, "path": path})
     few = rules.limit(max_trie_rules + 1).collect()
-    if len(few) <= max_trie_rules:
-        found = _by_trie(found, [tuple(r) for r in few])
-    else:
-        found = _by_join(found, rules)
-    return found.withColumn("verdict", F.coalesce("verdict", F.lit(default)))
+
+    def judged(given: DataFrame) -> DataFrame:
+        host, path = host_and_path(F.col("_url"))
+        found = given.withColumns({"host": host, "path": path})
+        if len(few) <= max_trie_rules:
+            found = _by_trie(found, [tuple(r) for r in few])
+        else:
+            found = _by_join(found, rules)
+        return found.withColumn("verdict", F.coalesce("verdict", F.lit(default)))
+
+    # the url is read from a copy: its own column may be named like a result
+    copied = urls.withColumn("_url", F.col(url_column))
+    return guarded(copied, ["_url"], judged, ["host", "path", "rule", "verdict"]).drop("_url")
 
 
 def _by_trie(urls: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
