@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 
 #: Text that a task holds as numeric arrays at one time. One longer text is
 #: worked on alone; nothing is ever cut.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def text_column(batch: pa.RecordBatch, name: str) -> pa.Array:

@@ -41,7 +41,8 @@ from glossweave.llm.ppm import Table
 from glossweave.session import cut_lineage
 
 PIECE_SHARE = 1 << 20
-HELD = 1 << 20
+#: Distinct pieces that a task holds before it hands on partial counts.
+HELD = 1 << 17
 #: Bytes of a piece beyond which a heap merges it.
 LONG = 64
 RANK_BUCKETS = 1 << 15
@@ -264,10 +265,10 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, share: int = PIECE_SHA
         for batch in batches:
             for part in slices(batch, "text"):
                 made = encoder.encode(text_column(part, "text").to_pylist())
-                ids = [list(map(int, m.split(","))) if m else [] for m in made]
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*part.schema.names, "ids"]
-                )
+                ids = [np.array(m.split(","), np.int32) if m else np.zeros(0, np.int32) for m in made]
+                ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+                lists = pa.ListArray.from_arrays(ends, np.concatenate(ids))
+                yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, "ids"])
 
     def encoded(d: DataFrame) -> DataFrame:
         return d.mapInArrow(run, StructType([*d.schema.fields, StructField("ids", ArrayType(IntegerType()))]))

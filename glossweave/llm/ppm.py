@@ -42,7 +42,7 @@ ORDER = 5
 TRIE_SHARE = 1 << 22
 WORD_SHARE = 1 << 20
 #: Entries that a task holds before it hands on partial counts.
-HELD = 1 << 20
+HELD = 1 << 18
 END = b"\n"
 END_WORD = b""
 
@@ -112,9 +112,9 @@ def _count(order: int):
                 keys, _ = grams(texts, order)
                 unique, n = np.unique(keys, return_counts=True)
                 held.append((unique, n))
-                if sum(len(k) for k, _ in held) > 4 * HELD:
+                if sum(len(k) for k, _ in held) > 8 * HELD:
                     held = [merged()]
-                    if len(held[0][0]) > 2 * HELD:
+                    if len(held[0][0]) > 4 * HELD:
                         yield gram_rows()
                         held = []
                 if len(words) > HELD:
