@@ -18,16 +18,17 @@ TEXTS = f"""
 src_l as (select doc_id, unnest(range(len(string_split(text, chr(10))))) i,
                  unnest(string_split(text, chr(10))) t from documents),
 src_w as (select doc_id, i, regexp_extract_all(t, '{WORD}') w from src_l),
-src_e as (select doc_id, i, upper(w[1][1])||substr(w[1],2) h1,
-                 upper(w[2][1])||substr(w[2],2) h2, lower(w[2]) w2,
-                 array_to_string(w[3:], ' ') body
-          from src_w where len(w) >= 3 and not starts_with(w[1],'ß') and not starts_with(w[2],'ß')),
-src_x as (select doc_id, i, case i % 5
-            when 0 then h1||', _'||body||'._'
+src_e as (select doc_id, i, len(w) n,
+                 case when starts_with(w[1],'ß') then w[1] else upper(w[1][1])||substr(w[1],2) end h1,
+                 case when starts_with(w[2],'ß') then w[2] else upper(w[2][1])||substr(w[2],2) end h2,
+                 lower(w[2]) w2, array_to_string(w[3:], ' ') body, array_to_string(w[2:], ' ') rest
+          from src_w where len(w) > 0),
+src_x as (select doc_id, i, case when n < 3 then h1||', _'||rest||'._' else case i % 5
+            when 0 then h1||', _'||h2||' '||body||'._'
             when 1 then h1||', '||w2||', _'||body||'._'
-            when 2 then h1||', _idem._'
+            when 2 then h1||', _idem._ '||h2||' '||body
             when 3 then h1||', _as_ '||h2||', _'||body||'._'
-            else '  '||h1||'.  }}'||chr(10)||'  '||h2||'.  }} '||body end p from src_e),
+            else '  '||h1||'.  }}'||chr(10)||'  '||h2||'.  }} '||body end end p from src_e),
 texts as (select doc_id, 'Front, _ignored._'||chr(10)||chr(10)||'A'||chr(10)||chr(10)
             ||string_agg(p, chr(10)||chr(10) order by i)
             ||chr(10)||chr(10)||'   FINIS.'||chr(10)||'After, _ignored._' as text
@@ -186,8 +187,8 @@ LEX_KEYS = """,
 keys as (select distinct key from lex where key <> '')"""
 
 TERMS = f""",
-ut as (select conv_id||'-'||turn query_id, regexp_extract_all(text,'{WORD}')[1] term
-       from conversations where role = 'user'),
+ur as (select conv_id, turn, regexp_extract_all(text,'{WORD}') w from conversations where role = 'user'),
+ut as (select conv_id||'-'||turn||'-'||unnest(range(len(w))) query_id, unnest(w) term from ur),
 uq as (select query_id, regexp_replace(strip_accents(lower(term)),'[^a-z ]','','g') q_key
        from ut where term is not null),
 qk as (select distinct q_key from uq where q_key <> '')"""
@@ -262,10 +263,14 @@ from (select doc_id, string_split(replace(replace(text, chr(13)||chr(10), chr(10
       from documents)""",
     src3_read_lexicon=f"{LEX} select entry_id, word, definition, {REFS_TEXT}, key from lex",
     snk1_write_lexicon=f"{LEX} select entry_id, word, key from lex",
-    snk2_write_key_groups=f"{LEX} select key, count(*) n_entries, min(entry_id) first_entry from lex group by key",
+    snk2_write_key_groups=f"""{LEX},
+rk as (select *, row_number() over (partition by key order by entry_id) - 1 rk,
+              first_value(word) over (partition by key order by entry_id) fw from lex)
+select key, (rk // 10000)::bigint part, nullif(fw[1], '') partition_key, count(*)::int n_entries,
+       string_agg(entry_id::varchar, ',' order by entry_id) entries from rk group by all""",
     snk3_json_payload=f"{LEX} select entry_id, word, definition, {REFS_TEXT} from lex",
     snk4_export_by_letter=f"""{LEX}
-select nullif(upper(left(strip_accents(lower(replace(replace(word,'[',''),']',''))),1)),'') letter,
+select nullif(replace(upper(left(strip_accents(lower(replace(replace(word,'[',''),']',''))),1)),'ẞ','ß'),'') letter,
        word, definition, coalesce(array_to_string(refs, chr(10)),'') refs from lex""",
     snk5_upsert_by_id=f"""{LEX}
 select entry_id, word, case when starts_with(definition,'_as_') then 'changed '||definition
@@ -294,12 +299,11 @@ lb as (select doc_id, line_no block_no, line block, strpos(line,'_') mark_at,
          trim(left(line, strpos(line,'_') - 1), ',; ') w from ln)"""
 )
 
-TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
-
 add(
     par1_split_entry=f"with {SPLIT} select doc_id, block_no, word_raw, definition from split",
     par2_clean_headword=f"""
-select page_id, replace('['||{TITLE}||']er', '[er]', 'er') word from pages""",
+select page_id, replace(replace(replace('<i>'||html||'</i>[er]', '<i>', '['), '</i>', ']'), '[er]', 'er') word
+from pages""",
     par3_reject_empty=f"""with {LINE_BLOCKS}
 select doc_id, count(*) kept from lb where not contains(block,'}}') and mark_at > 0 and w <> '' group by doc_id""",
     par4_quarantine=f"""with {LINE_BLOCKS}
@@ -311,7 +315,7 @@ from lb where (contains(block,'}}') and trim(replace(regexp_replace(block,'^.*?[
     par6_resolve_idem=f"with {RESOLVED} select doc_id, block_no, word_raw, definition, {REFS_TEXT} from resolved",
     par7_extract_references=f"with {REFS} select doc_id, block_no, {REFS_TEXT} from refd",
     par8_distinct_references=f"""
-with t as (select page_id, regexp_extract_all({TITLE}, '{WORD}') w from pages)
+with t as (select page_id, regexp_extract_all(html, '{WORD}') w from pages)
 select page_id, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i), '|') refs from t""",
     par9_expand_variants=f"""with {SPLIT},
 rw as (select *, word_raw raw from split){two_forms('rw', 'fr')}

@@ -1,8 +1,9 @@
 """Marked-up lexicon text derived from plain documents.
 
-Each source line with at least three words becomes one entry; its shape goes by
-the line number: plain, two forms, idem, cross-reference, brace group. The text
-of a document is derived inside its own row.
+Each source line with a word becomes one entry. Lines of one or two words are
+plain; of the others the shape goes by the line number: plain, two forms, idem
+with a suffix, cross-reference, brace group. The text of a document is derived
+inside its own row.
 """
 
 from __future__ import annotations
@@ -19,7 +20,10 @@ def words_of(text: Column) -> Column:
 
 
 def _capital(word: Column) -> Column:
-    return F.concat(F.upper(F.substring(word, 1, 1)), F.substr(word, F.lit(2)))
+    # a first letter without a capital of its own stays
+    return F.when(word.startswith("ß"), word).otherwise(
+        F.concat(F.upper(F.substring(word, 1, 1)), F.substr(word, F.lit(2)))
+    )
 
 
 def _entry(line: Column, i: Column) -> Column:
@@ -27,19 +31,16 @@ def _entry(line: Column, i: Column) -> Column:
         head, second = _capital(F.get(w, F.lit(0))), _capital(F.get(w, F.lit(1)))
         low = F.lower(F.get(w, F.lit(1)))
         body = F.array_join(F.slice(w, F.lit(3), F.greatest(F.size(w), F.lit(1))), " ")
-        usable = (
-            (F.size(w) >= 3)
-            & ~F.get(w, F.lit(0)).startswith("ß")
-            & ~F.get(w, F.lit(1)).startswith("ß")
-        )
+        rest = F.array_join(F.slice(w, F.lit(2), F.greatest(F.size(w), F.lit(1))), " ")
         kind = i % 5
         text = (
-            F.when(kind == 0, F.concat(head, F.lit(", _"), body, F.lit("._")))
+            F.when(F.size(w) < 3, F.concat(head, F.lit(", _"), rest, F.lit("._")))
+            .when(kind == 0, F.concat(head, F.lit(", _"), second, F.lit(" "), body, F.lit("._")))
             .when(
                 kind == 1,
                 F.concat(head, F.lit(", "), low, F.lit(", _"), body, F.lit("._")),
             )
-            .when(kind == 2, F.concat(head, F.lit(", _idem._")))
+            .when(kind == 2, F.concat(head, F.lit(", _idem._ "), second, F.lit(" "), body))
             .when(
                 kind == 3,
                 F.concat(
@@ -52,7 +53,7 @@ def _entry(line: Column, i: Column) -> Column:
                 )
             )
         )
-        return F.when(usable, text)
+        return F.when(F.size(w) > 0, text)
 
     return F.element_at(F.transform(F.array(words_of(line)), shape), 1)
 

@@ -53,7 +53,7 @@ def _best_by_group(query_ids, queries, frame: pd.DataFrame, k: int):
     for at in range(0, len(frame), step):
         found = [
             triple
-            for _, part in frame.iloc[at : at + step].groupby("g", sort=False)
+            for _, part in frame.iloc[at : at + step].groupby("g", sort=False, dropna=False)
             for triple in _best(
                 query_ids,
                 queries,
@@ -62,6 +62,8 @@ def _best_by_group(query_ids, queries, frame: pd.DataFrame, k: int):
                 1,
             )
         ]
+        if not found:
+            continue
         query, item, score = (np.concatenate(c) for c in zip(*found))
         order = np.lexsort((item, -score, query))
         query, item, score = query[order], item[order], score[order]

@@ -28,10 +28,12 @@ from glossweave.functions.text import (
     vector_key,
 )
 from glossweave.operators.kernel import QueryBlock, gram_matrix, pair_scores
-from glossweave.session import spread
+from glossweave.session import cut_lineage, spread
 
 BROADCAST_QUERIES = 8_192
 QUERY_BLOCK = 4_096
+# Parts of a frequent gram's list in the inverted index.
+GRAM_PARTS = 8
 ITEM_BLOCK = 65_536
 # Up to this key length (squared norm <= 929) only an equal vector rounds to a
 # cosine of 1: markers force the other vector to nearly the same length, and two
@@ -222,9 +224,16 @@ def cosine_postings(
     first_shared = F.coalesce(
         F.get(F.array_intersect("q_key_prefix", "key_prefix"), F.lit(0)), F.lit("")
     )
+    # a hot gram's keys lie in several parts, its queries go to each
     pairs = (
         indexed(keys, "key")
-        .join(indexed(q_keys, "q_key"), "gram")
+        .withColumn("part", F.pmod(F.xxhash64("key"), F.lit(GRAM_PARTS)))
+        .join(
+            indexed(q_keys, "q_key").withColumn(
+                "part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(GRAM_PARTS - 1).cast("long")))
+            ),
+            ["gram", "part"],
+        )
         .where(first_shared == F.col("gram"))
         .select("q_key", "key")
     )
@@ -335,13 +344,13 @@ def closest_keys(
     keys: DataFrame,
     threshold: float = K.SCORE_THRESHOLD,
     inclusive: bool = True,
-    **kw,
 ) -> DataFrame:
     """(q_key, key, score): the single best lexicon key at or above (or strictly
     above) the threshold.
 
     A query whose vector equals a lexicon vector is answered by an equi-join on
-    the vector's signature; only the others are scored against the lexicon.
+    the vector's signature; the others go by the inverted index, which meets
+    only keys that may reach the threshold.
     """
     signed = q_keys.select(
         "q_key",
@@ -361,10 +370,11 @@ def closest_keys(
         "q_key", "key", F.lit(1.0).alias("score")
     )
     rest = joined.where(~F.col("same")).select("q_key")
-    scored = nearest_keys(rest, keys, 1, threshold, inclusive, **kw).select(
-        "q_key", "key", "score"
-    )
-    return same.unionByName(scored)
+    found = cosine_postings(rest, keys, threshold)
+    if not inclusive:
+        found = found.where(F.col("score") > threshold)
+    best = found.groupBy("q_key").agg(F.min(F.struct((-F.col("score")).alias("s"), "key")).alias("b"))
+    return same.unionByName(best.select("q_key", "b.key", (-F.col("b.s")).alias("score")))
 
 
 def find_closest(
@@ -396,7 +406,6 @@ def find_closest(
         _distinct(lexicon, "key", "key"),
         threshold,
         inclusive,
-        **kw,
     )
     entries = lexicon.select(ENTRY_FIELDS).where(F.col("key") != "")
     if unit == "word":
@@ -415,7 +424,8 @@ def closest_or_search(
 ) -> DataFrame:
     """The closest match of each query where there is one (`route='exact'`),
     else its top-k search (`route='search'`)."""
-    closest = find_closest(queries, lexicon, **kw)
+    # read twice below, computed once
+    closest = cut_lineage(find_closest(queries, lexicon, **kw))
     left_over = queries.join(
         closest.select("query_id").distinct(), "query_id", "left_anti"
     )
@@ -503,7 +513,10 @@ def locate_reference_spans(entries: DataFrame) -> DataFrame:
         ).cast(step)
 
         def take(s: Column, ref: Column) -> Column:
-            at = F.position(ref, run["text"], s["cursor"])
+            # an empty word stands at the cursor
+            at = F.when(ref == "", s["cursor"]).otherwise(
+                F.position(ref, run["text"], s["cursor"])
+            )
             hit = s["open"] & (at > 0)
             return F.struct(
                 F.when(hit, s["next"] + 1).otherwise(s["next"]).alias("next"),

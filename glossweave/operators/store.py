@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -47,39 +49,50 @@ def write_lexicon(entries: DataFrame, path: str, order: list[str]) -> None:
 
 def key_groups(lexicon: DataFrame, max_entries: int = GROUP_ENTRIES) -> DataFrame:
     """(key, part, partition_key, n_entries, word_definitions): the entries of
-    each key nested in one document. A key with more than `max_entries` entries
-    is spread over several parts, so that no task or cell holds a hot key whole.
+    each key nested in documents of `max_entries` entries, in entry order; entry
+    r of a key is in part r / max_entries, however many there are. All parts of
+    a key have the first letter of its first entry as partition key.
+
+    An entry's rank is counted inside a stretch of ids, after the sums of the
+    key's stretches before, so no task holds a hot key whole.
     """
     entry = F.struct("entry_id", "word", "definition", "referenced_words")
-    large = (
-        lexicon.groupBy("key")
-        .agg(F.count("*").alias("n"))
-        .where(F.col("n") > max_entries)
-        .select("key", F.ceil(F.col("n") / max_entries).alias("parts"))
-    )
-    parted = lexicon.join(large, "key", "left").withColumn(
-        "part",
-        F.when(
-            F.col("parts").isNotNull(), F.pmod(F.xxhash64("entry_id"), F.col("parts"))
-        ).otherwise(F.lit(0)),
-    )
-    grouped = parted.groupBy("key", "part").agg(
-        F.sort_array(F.collect_list(entry)).alias("word_definitions")
-    )
-    return grouped.select(
+    staged = lexicon.withColumn("_s", F.floor(F.col("entry_id") / max_entries))
+    sums = staged.groupBy("key", "_s").agg(
+        F.count("*").alias("_n"), F.min(F.struct("entry_id", "word")).alias("_first")
+    )
+    before = Window.partitionBy("key").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("key")
+    bases = sums.select(
         "key",
-        "part",
-        F.upper(F.substring(F.get("word_definitions", F.lit(0))["word"], 1, 1)).alias(
-            "partition_key"
-        ),
-        F.size("word_definitions").alias("n_entries"),
-        "word_definitions",
+        "_s",
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"),
+        F.substring(F.min("_first").over(whole)["word"], 1, 1).alias("partition_key"),
+    )
+    inside = F.row_number().over(Window.partitionBy("key", "_s").orderBy("entry_id"))
+    parted = (
+        staged.withColumn("_in", inside)
+        .join(bases, ["key", "_s"])
+        .withColumn("part", F.floor((F.col("_base") + F.col("_in") - 1) / max_entries))
+    )
+    return (
+        parted.groupBy("key", "part", "partition_key")
+        .agg(F.sort_array(F.collect_list(entry)).alias("word_definitions"))
+        .select(
+            "key",
+            "part",
+            "partition_key",
+            F.size("word_definitions").alias("n_entries"),
+            "word_definitions",
+        )
     )
 
 
 def write_key_groups(lexicon: DataFrame, path: str) -> None:
-    """Key groups in folders by first letter of the word."""
-    key_groups(lexicon).write.mode("errorifexists").partitionBy(
+    """Key groups in folders by first letter of the word, gathered by letter and
+    key first, so that a letter is written by few tasks and a large one by many."""
+    n = int(lexicon.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key_groups(lexicon).repartitionByRange(n, "partition_key", "key", "part").write.mode("errorifexists").partitionBy(
         "partition_key"
     ).parquet(path)
 
@@ -106,8 +119,11 @@ def from_json_payload(payload: DataFrame) -> DataFrame:
 def letter_rows(lexicon: DataFrame) -> DataFrame:
     """Rows of the per-letter export, with their sort columns."""
     norm = printable_normalised(F.col("word"))
+    first = F.substring(norm, 1, 1)
+    # a letter without a capital of its own (ß) stays
+    letter = F.when(F.length(F.upper(first)) > 1, first).otherwise(F.upper(first))
     return lexicon.select(
-        F.upper(F.substring(norm, 1, 1)).alias("letter"),
+        letter.alias("letter"),
         norm.alias("norm"),
         "entry_id",
         "word",
@@ -136,8 +152,11 @@ def export_by_letter(lexicon: DataFrame, path: str) -> None:
 
 def upsert_by_id(target: DataFrame, changes: DataFrame, id_col: str) -> DataFrame:
     """Target rows with the changed ids replaced and the new ids added."""
-    kept = target.join(changes.select(id_col).distinct(), id_col, "left_anti")
-    return kept.unionByName(changes.select(target.columns))
+    columns = target.columns
+    # of rows that repeat an id the last one counts, by all columns
+    last = changes.groupBy(id_col).agg(F.max(F.struct(*columns)).alias("_row")).select("_row.*")
+    kept = target.join(last.select(id_col), id_col, "left_anti")
+    return kept.select(columns).unionByName(last.select(columns))
 
 
 def index_on_word(lexicon: DataFrame, path: str, word_col: str = "word") -> None:
@@ -182,15 +201,64 @@ def needs_rebuild(current: DataFrame, target: DataFrame) -> DataFrame:
 
 
 def publish_version(lexicon: DataFrame, base: str, name: str) -> str:
-    """Write the lexicon to a folder named by vector size and key count, check
-    the written count, then point the view `name` at it. Returns the folder. A
-    failed or short write raises and leaves the old version in place."""
+    """Write the lexicon to a folder of its own (named by vector size, key count
+    and a run id), check the written count, then add it to the stored pointer,
+    point the view `name` at it and drop the version before. Returns the folder.
+    A failed or short write raises and leaves the old version in place."""
     spark = lexicon.sparkSession
     stats = lexicon_stats(lexicon).first()
-    path = f"{base.rstrip('/')}/{name}-{stats.vector_size}_{stats.number_of_vectors}"
-    lexicon.write.mode("overwrite").parquet(path)
+    size = f"{stats.vector_size}_{stats.number_of_vectors}"
+    path = f"{base.rstrip('/')}/{name}-{size}-{uuid.uuid4().hex}"
+    lexicon.write.mode("errorifexists").parquet(path)
     written = spark.read.parquet(path)
     if written.count() != stats.entries:
         raise RuntimeError(f"published table at {path} is incomplete")
+    before = current_version(spark, base, name)
+    row = [((before[0] if before else 0) + 1, path)]
+    spark.createDataFrame(row, "version long, path string").coalesce(1).write.mode(
+        "append"
+    ).parquet(_pointer(base, name))
     written.createOrReplaceTempView(name)
+    if before:
+        _drop(spark, before[1])
     return path
+
+
+def _pointer(base: str, name: str) -> str:
+    return f"{base.rstrip('/')}/{name}.versions"
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def current_version(spark: SparkSession, base: str, name: str) -> tuple[int, str] | None:
+    """(number, folder) of the version that readers of any session use."""
+    if not _exists(spark, _pointer(base, name)):
+        return None
+    found = spark.read.parquet(_pointer(base, name)).orderBy(F.desc("version")).first()
+    return (found.version, found.path) if found else None
+
+
+def published(spark: SparkSession, base: str, name: str) -> DataFrame:
+    """The current version of a published lexicon."""
+    return spark.read.parquet(current_version(spark, base, name)[1])
+
+
+def rebuild_if_stale(entries: DataFrame, base: str, name: str, order: list[str]) -> bool:
+    """Publish `entries` with ids if the current version is missing or differs
+    in vector size or count of keys. Returns whether it did."""
+    spark = entries.sparkSession
+    target = lexicon_stats(entries)
+    if current_version(spark, base, name):
+        stale = needs_rebuild(lexicon_stats(published(spark, base, name)), target)
+        if not stale.first().rebuild:
+            return False
+    publish_version(with_entry_ids(entries, order), base, name)
+    return True

@@ -56,7 +56,9 @@ def dense_vectors(keys: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(key, vector ARRAY<FLOAT>) over the vocabulary's index order; grams
     outside the vocabulary count for nothing. The vocabulary, bounded by the
     alphabet, is read once and travels with the tasks."""
-    grams = [r.gram for r in vocabulary.orderBy("idx").limit(DIMS).collect()]
+    grams = [r.gram for r in vocabulary.orderBy("idx").limit(DIMS + 1).collect()]
+    if len(grams) > DIMS:
+        raise ValueError(f"a vocabulary has at most {DIMS} grams")
     columns = np.array([gram_index(g) for g in grams], dtype=np.int64)
 
     def to_vectors(batches):

@@ -12,13 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can read: `spark.checkpoint.dir` where the cluster
-    sets it. Only a session without it (tests, local runs) gets its own."""
+    sets it. Only a local session without it (tests) gets its own; on a cluster
+    a missing setting is an error."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     known = spark.sparkContext.getCheckpointDir()
     if known:
         return known
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     own = tempfile.mkdtemp(prefix="glossweave-")
     spark.sparkContext.setCheckpointDir(own)
     return own

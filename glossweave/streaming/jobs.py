@@ -54,6 +54,33 @@ def stream_ingest(texts: DataFrame, path: str, checkpoint: str) -> StreamingQuer
     )
 
 
+def stream_quota_report(
+    events: DataFrame, path: str, checkpoint: str, window: str = "10 seconds", permits: int = 20, **kw
+) -> StreamingQuery:
+    """The quota report of a stream of events, as a Parquet table of changed
+    windows: each batch writes the windows it has counted further, state older
+    than the watermark is dropped. A repeated batch replaces its own rows."""
+
+    def changed(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return (
+        quota_report(events, window, permits, **kw)
+        .writeStream.outputMode("update")
+        .foreachBatch(changed)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def latest_quota_report(changes: DataFrame) -> DataFrame:
+    """One row per window and client: the counts only grow."""
+    return changes.groupBy("window_start", "client").agg(
+        F.max("requests").alias("requests"), F.max("over_limit").alias("over_limit")
+    )
+
+
 def quota_report(
     events: DataFrame,
     window: str = "10 seconds",

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glossweave.functions.grams import char_grams, gram_counts, signature
+from glossweave.operators import embeddings as E
 from glossweave.operators import search as S
 from glossweave.operators import vectors as V
 
@@ -167,6 +168,8 @@ def test_spans(spark):
             (1, "_as_ Alfa, Beta, _or_ Gamma.", ["Alfa", "Beta", "Gamma"]),
             (2, "_as_ Beta, Alfa.", ["Alfa", "Beta"]),
             (3, "_x._", []),
+            # an empty reference stands at the cursor and moves nothing
+            (4, "_as_ Foo, Foo._x_", ["Foo", "", "Foo"]),
         ],
         "entry_id bigint, definition string, referenced_words array<string>",
     )
@@ -176,6 +179,9 @@ def test_spans(spark):
         (1, "Beta", 1, 7),
         (1, "Gamma", 3, 1),
         (2, "Alfa", 1, 7),
+        (4, "Foo", 1, 1),
+        (4, "", 1, 4),
+        (4, "Foo", 1, 6),
     ]
 
 
@@ -216,3 +222,13 @@ def test_grams_and_vectors(spark):
         V.dense_vectors(frame(spark, KEYS + [""], "key"), vocabulary)
     ).first()
     assert (check.sampled, check.zero_vectors) == (25, 1)
+
+
+def test_vector_search_with_null_groups(spark):
+    rows = [(i, [float(i + 1), 1.0], None if i % 2 else "a") for i in range(6)]
+    items = spark.createDataFrame(rows, "vec_id long, embedding array<float>, g string")
+    asked = items.select(F.col("vec_id").alias("query_id"), "embedding")
+    found = E.vector_search(asked, items, 5, group_col="g").where("query_id = 0").collect()
+    assert {r.g for r in found} == {None, "a"}
+    nulls = items.where("g is null")
+    assert {r.g for r in E.vector_search(asked, nulls, 5, group_col="g").collect()} == {None}

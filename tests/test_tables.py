@@ -42,7 +42,10 @@ def test_key_groups_split_hot_keys(spark, lexicon, tmp_path):
     whole = S.key_groups(lexicon).collect()
     assert sum(r.n_entries for r in whole) == 52 and {r.part for r in whole} == {0}
     split = S.key_groups(lexicon, max_entries=1).where("key = 'a'").collect()
-    assert sum(r.n_entries for r in split) == 3
+    assert sorted((r.part, r.n_entries) for r in split) == [(0, 1), (1, 1), (2, 1)]
+    assert {r.partition_key for r in split} == {"A"}
+    pairs = S.key_groups(lexicon, max_entries=2).where("key = 'a'").collect()
+    assert sorted((r.part, r.n_entries) for r in pairs) == [(0, 2), (1, 1)]
     S.write_key_groups(lexicon, str(tmp_path / "groups"))
     back = spark.read.parquet(str(tmp_path / "groups"))
     assert back.where("partition_key = 'A'").agg(F.sum("n_entries")).first()[0] == 10
@@ -78,7 +81,7 @@ def test_index_and_publish(spark, lexicon, tmp_path):
     assert S.lookup_word(spark, str(tmp_path / "idx"), "A").count() == 3
     path = S.publish_version(lexicon, str(tmp_path / "pub"), "lex_view")
     stats = S.lexicon_stats(lexicon).first()
-    assert path.endswith(f"-{stats.vector_size}_{stats.number_of_vectors}")
+    assert f"-{stats.vector_size}_{stats.number_of_vectors}-" in path
     assert spark.table("lex_view").count() == 52
     target = S.lexicon_stats(lexicon)
     assert S.needs_rebuild(target, target).first().rebuild is False
@@ -87,6 +90,48 @@ def test_index_and_publish(spark, lexicon, tmp_path):
     assert S.needs_rebuild(fewer, target).first().rebuild is True
 
 
+def test_upsert_keeps_one_of_a_repeated_id(spark, lexicon):
+    change = lexicon.where("entry_id = 1")
+    changes = change.withColumn("definition", F.lit("a")).union(change.withColumn("definition", F.lit("b")))
+    out = S.upsert_by_id(lexicon, changes, "entry_id")
+    assert out.count() == 52
+    assert out.where("entry_id = 1").first().definition == "b"
+
+
+def test_publish_twice_with_equal_counts(spark, lexicon, tmp_path):
+    base = str(tmp_path / "twice")
+    first = S.publish_version(lexicon, base, "twice")
+    # what is published may be read from the version before
+    changed = spark.table("twice").withColumn("definition", F.lit("changed"))
+    second = S.publish_version(changed, base, "twice")
+    assert first != second
+    for found in (spark.table("twice"), S.published(spark, base, "twice")):
+        assert found.where("definition = 'changed'").count() == 52
+    assert S.current_version(spark, base, "twice") == (2, second)
+    assert not (tmp_path / "twice" / first.rsplit("/", 1)[1]).exists()
+
+
+def test_failed_publish_leaves_the_old_version(spark, lexicon, tmp_path):
+    base = str(tmp_path / "failed")
+    S.publish_version(lexicon, base, "failed")
+    broken = lexicon.withColumn(
+        "definition", F.when(F.col("entry_id") == 52, F.raise_error(F.lit("no"))).otherwise("x")
+    )
+    with pytest.raises(Exception):
+        S.publish_version(broken, base, "failed")
+    assert S.published(spark, base, "failed").count() == 52
+    assert spark.table("failed").where("definition = 'x'").count() == 0
+
+
+def test_rebuild_if_stale(spark, lexicon, tmp_path):
+    base, entries = str(tmp_path / "job"), lexicon.drop("entry_id")
+    assert S.rebuild_if_stale(entries, base, "job", ["word", "definition"])
+    assert not S.rebuild_if_stale(entries, base, "job", ["word", "definition"])
+    fewer = entries.where("word <> 'Fátta'")
+    assert S.rebuild_if_stale(fewer, base, "job", ["word", "definition"])
+    assert S.published(spark, base, "job").count() == fewer.count()
+
+
 def test_reports(spark, lexicon):
     assert A.entry_count(lexicon).first().entries == 52
     word = A.longest(lexicon, "word", ["entry_id"]).first()
