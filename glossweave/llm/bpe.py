@@ -50,8 +50,12 @@ RANK_BUCKETS = 1 << 15
 
 def read_ranks(path: str) -> dict[bytes, int]:
     """The ranks of a file with a base64 token and its rank per line."""
-    with open(path, "rb") as lines:
-        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    with open(path, "rb") as file:
+        return parse_ranks(file.read())
+
+
+def parse_ranks(data: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
 
 
 # --- the fold over distinct pieces -------------------------------------------
@@ -220,8 +224,9 @@ def _counted(pattern: str):
     return run
 
 
-def piece_table(docs: DataFrame, ranks: dict[bytes, int], pattern: str, share: int = PIECE_SHARE) -> dict[str, str]:
-    """Ids of the common pieces, as decimal numbers joined by commas."""
+def piece_table(docs: DataFrame, ranks: dict[bytes, int], pattern: str, share: int = PIECE_SHARE) -> pa.Table:
+    """(piece, ids) of the common pieces; ids as decimal numbers joined by
+    commas."""
     counts = cut_lineage(
         docs.select("text")
         .mapInArrow(_counted(pattern), "piece string, n long")
@@ -231,15 +236,20 @@ def piece_table(docs: DataFrame, ranks: dict[bytes, int], pattern: str, share: i
     total = counts.agg(F.sum("n")).first()[0] or 0
     common = counts.where(F.col("n") * share >= total)
     ids = fold_merges(F.encode("piece", "UTF-8"), rank_literal(ranks))
-    found = common.repartition(F.col("piece")).select("piece", F.array_join(ids.cast("array<string>"), ",").alias("ids")).toArrow()
-    return dict(zip(found.column(0).to_pylist(), found.column(1).to_pylist()))
+    joined = F.array_join(ids.cast("array<string>"), ",").alias("ids")
+    return common.repartition(F.col("piece")).select("piece", joined).toArrow()
 
 
 class Encoder:
     """Encodes the texts of a task."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, common: dict[str, str]):
-        self.find, self.common, self.merger = regex.compile(pattern).findall, common, Merger(ranks)
+    def __init__(self, rank_data: bytes, pattern: str, common: bytes):
+        """The rank file's content; the piece table as an Arrow stream."""
+        self.ranks = parse_ranks(rank_data)
+        self.find, self.merger = regex.compile(pattern).findall, Merger(self.ranks)
+        self.common = {}
+        for batch in pa.ipc.open_stream(common):
+            self.common.update(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
 
     def encode(self, texts: list[str]) -> list[str]:
         """Ids of each text, as decimal numbers joined by commas."""
@@ -252,8 +262,14 @@ class Encoder:
 
 
 def _shared(docs: DataFrame, rank_file: str, pattern: str, share: int):
-    ranks = read_ranks(rank_file)
-    return docs.sparkSession.sparkContext.broadcast((ranks, pattern, piece_table(docs, ranks, pattern, share)))
+    """What tasks need, in bytes: the driver holds no table of pieces as objects."""
+    with open(rank_file, "rb") as file:
+        data = file.read()
+    table = piece_table(docs, parse_ranks(data), pattern, share)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as stream:
+        stream.write_table(table)
+    return docs.sparkSession.sparkContext.broadcast((data, pattern, sink.getvalue().to_pybytes()))
 
 
 def encode(docs: DataFrame, rank_file: str, pattern: str, share: int = PIECE_SHARE) -> DataFrame:
@@ -298,7 +314,7 @@ def digests(docs: DataFrame, rank_file: str, pattern: str, share: int = PIECE_SH
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(*shared.value)
-        piece_of = {str(rank): token for token, rank in shared.value[0].items()}.__getitem__
+        piece_of = {str(rank): token for token, rank in encoder.ranks.items()}.__getitem__
         for batch in batches:
             for part in slices(batch, "text"):
                 made = encoder.encode(text_column(part, "text").to_pylist())
