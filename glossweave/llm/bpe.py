@@ -6,7 +6,7 @@ leftmost of equals) is merged, until none has. Decoding concatenates the bytes
 of the ids.
 
 Pieces of all texts are counted. Distinct pieces that make up at least 2^-20 of
-all (2^20 at most) are encoded once, by Spark higher-order functions: a fold
+all (2^20 at most), and have at most `LONG` bytes, are encoded once, by Spark higher-order functions: a fold
 over the piece's byte array, with the ranks as a literal. A literal map is
 searched from its start, so the literal is an array of small maps, one per hash
 of the joint bytes. The result, of bounded size, travels with the tasks that put
@@ -38,14 +38,14 @@ from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 from glossweave.llm.arrow_text import slices, text_column
 from glossweave.llm.columns import guarded
 from glossweave.llm.ppm import Table
-from glossweave.session import cut_lineage
+from glossweave.session import cut_lineage, shuffle_partitions
 
 PIECE_SHARE = 1 << 20
 #: Distinct pieces that a task holds before it hands on partial counts.
 HELD = 1 << 17
 #: Bytes of a piece beyond which a heap merges it.
 LONG = 64
-RANK_BUCKETS = 1 << 15
+RANK_BUCKETS = 1 << 13
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -234,10 +234,16 @@ def piece_table(docs: DataFrame, ranks: dict[bytes, int], pattern: str, share: i
         .agg(F.sum("n").alias("n"))
     )
     total = counts.agg(F.sum("n")).first()[0] or 0
-    common = counts.where(F.col("n") * share >= total)
+    # long pieces are merged by a heap in the tasks: a fold takes their length
+    # squared. Cut off here, the literal stands in one plan without exchanges.
+    common = cut_lineage(
+        counts.where((F.col("n") * share >= total) & (F.octet_length("piece") <= LONG))
+        .select("piece")
+        .repartition(shuffle_partitions(docs.sparkSession), "piece")
+    )
     ids = fold_merges(F.encode("piece", "UTF-8"), rank_literal(ranks))
     joined = F.array_join(ids.cast("array<string>"), ",").alias("ids")
-    return common.repartition(F.col("piece")).select("piece", joined).toArrow()
+    return common.select("piece", joined).toArrow()
 
 
 class Encoder:
