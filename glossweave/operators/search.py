@@ -344,13 +344,15 @@ def closest_keys(
     keys: DataFrame,
     threshold: float = K.SCORE_THRESHOLD,
     inclusive: bool = True,
+    **kw,
 ) -> DataFrame:
     """(q_key, key, score): the single best lexicon key at or above (or strictly
     above) the threshold.
 
     A query whose vector equals a lexicon vector is answered by an equi-join on
-    the vector's signature; the others go by the inverted index, which meets
-    only keys that may reach the threshold.
+    the vector's signature; only the others are scored against the lexicon. At
+    the usual threshold the inverted index meets a good part of all pairs, and a
+    pair of it costs far more than one in the blocked product.
     """
     signed = q_keys.select(
         "q_key",
@@ -370,11 +372,10 @@ def closest_keys(
         "q_key", "key", F.lit(1.0).alias("score")
     )
     rest = joined.where(~F.col("same")).select("q_key")
-    found = cosine_postings(rest, keys, threshold)
-    if not inclusive:
-        found = found.where(F.col("score") > threshold)
-    best = found.groupBy("q_key").agg(F.min(F.struct((-F.col("score")).alias("s"), "key")).alias("b"))
-    return same.unionByName(best.select("q_key", "b.key", (-F.col("b.s")).alias("score")))
+    scored = nearest_keys(rest, keys, 1, threshold, inclusive, **kw).select(
+        "q_key", "key", "score"
+    )
+    return same.unionByName(scored)
 
 
 def find_closest(
@@ -406,6 +407,7 @@ def find_closest(
         _distinct(lexicon, "key", "key"),
         threshold,
         inclusive,
+        **kw,
     )
     entries = lexicon.select(ENTRY_FIELDS).where(F.col("key") != "")
     if unit == "word":
