@@ -332,14 +332,15 @@ def score(docs: DataFrame, training: DataFrame, order: int = ORDER, share: int =
     trie = trie_of(counts, order, share)
     words = counts.where(F.col("word").isNotNull()).select(F.col("word").alias("_word"), F.col("n").alias("_c"))
     n, v = words.agg(F.coalesce(F.sum("_c"), F.lit(0)), F.count("*")).first()
-    common = words.where(F.col("_c") * word_share >= n).toArrow()
-    common = dict(zip(common.column(0).to_pylist(), common.column(1).to_pylist()))
     # the end, a word of every text, is known to the tasks in any case
-    common.setdefault(END_WORD, 0)
+    travels = (F.col("_c") * word_share >= n) | (F.octet_length("_word") == 0)
+    common = words.where(travels).toArrow()
+    common = dict(zip(common.column(0).to_pylist(), common.column(1).to_pylist()))
+    common.setdefault(END_WORD, 0)  # nothing to train on
     ground = math.log10(n + (v + 1))
     shared = docs.sparkSession.sparkContext.broadcast((trie, common, ground))
     scored = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_score(shared), _SCORED_DDL)
-    rare = words.where(F.col("_c") * word_share < n)
+    rare = words.where(~travels)
     c = F.coalesce("_c", F.lit(0))
     return (
         scored.join(rare, F.col("word") == F.col("_word"), "left")
