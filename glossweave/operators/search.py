@@ -240,12 +240,15 @@ def cosine_postings(
 
     def score(batches):
         for batch in batches:
-            q, items = batch.column("q_key"), batch.column("key")
+            # a key stands in many pairs of a batch: its grams are counted once
+            q, items = (batch.column(c).dictionary_encode() for c in ("q_key", "key"))
+            if not batch.num_rows:
+                continue
+            left, right = (gram_matrix(c.dictionary.to_pylist()) for c in (q, items))
             for at in range(0, batch.num_rows, 2048):
                 a, b = q.slice(at, 2048), items.slice(at, 2048)
-                value = pair_scores(
-                    gram_matrix(a.to_pylist()), gram_matrix(b.to_pylist())
-                )
+                value = pair_scores(left[a.indices.to_numpy()], right[b.indices.to_numpy()])
+                a, b = a.dictionary_decode(), b.dictionary_decode()
                 keep = pa.array(value >= threshold)
                 yield pa.RecordBatch.from_arrays(
                     [a.filter(keep), b.filter(keep), pa.array(value).filter(keep)],
