@@ -7,13 +7,16 @@ distinct / (total + distinct) to the context one byte shorter, where the symbols
 already offered are excluded; below the empty context all bytes are alike.
 
 Pretrained: tasks count byte strings of ORDER + 1 bytes, Spark sums them, and
-shorter contexts follow by summation. A context symbol stays in the trie when it
-makes up at least 2^-22 of all training bytes, a share that does not depend on
-the size of the corpus and leaves at most 2^22 entries an order, so the trie can
-be broadcast. Since a context's symbols are among those of each shorter context,
-what exclusion takes away is a fixed number per context; a text is then scored
-with array look-ups. Adaptive (`adaptive_score`): the trie grows along the text
-itself and starts empty.
+shorter contexts follow by summation. Every counted string has its place in the
+trie; totals and distinct counts are of all training bytes. The logarithms of
+the most frequent strings (2^22 at most) travel with the tasks. All other bytes
+are asked for where the counts are: strings and questions are dealt by the last
+LOW + 1 bytes of the context, so that a part has all longer contexts it needs,
+and the orders up to LOW (2^24 entries at most) are known to every part. Since a
+context's symbols are among those of each shorter context, what exclusion takes
+away is a fixed number per context; a byte is then scored with array look-ups.
+Adaptive (`adaptive_score`): the trie grows along the text itself and starts
+empty.
 
 The word base model needs the count of every word. Words that make up at least
 2^-20 of the training words travel with the tasks (2^20 at most); the others are
@@ -31,15 +34,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossweave.llm.arrow_text import slices, text_column
-from glossweave.session import cut_lineage
+from glossweave.session import cut_lineage, shuffle_partitions
 
 ORDER = 5
+#: Orders whose tables every task can hold, whatever the corpus.
+LOW = 2
 TRIE_SHARE = 1 << 22
+#: Distinct strings in a part, about.
+PART_GRAMS = 1 << 20
 WORD_SHARE = 1 << 20
 #: Entries that a task holds before it hands on partial counts.
 HELD = 1 << 18
@@ -171,11 +179,12 @@ class Trie:
     """Contexts and their symbols per order, with the logarithms of what each
     leads to."""
 
-    def __init__(self, orders: list[tuple[np.ndarray, np.ndarray]]):
-        """`orders[k]`: sorted (context of k bytes, symbol) numbers and counts."""
-        self.order = len(orders) - 1
-        self.levels = []
-        for k, (pairs, counts) in enumerate(orders):
+    def __init__(self, orders: list[tuple[np.ndarray, np.ndarray]], below: Trie | None = None):
+        """`orders[k]`: sorted (context of k bytes, symbol) numbers and counts; of
+        the orders after those of `below`, if given."""
+        self.levels = list(below.levels) if below else []
+        self.order = len(self.levels) + len(orders) - 1
+        for k, (pairs, counts) in enumerate(orders, len(self.levels)):
             contexts, of = np.unique(pairs >> np.uint64(8), return_inverse=True)
             total = np.bincount(of, counts, len(contexts))
             distinct = np.bincount(of, minlength=len(contexts))
@@ -202,7 +211,7 @@ class Trie:
                     level["rest"] = np.log(rest)
                     level["escape_below"] = np.where(free > 0, np.log(free) - np.log(rest), 0.0)
             self.levels.append(level)
-        known = int(self.levels[0]["distinct"][0]) if len(orders[0][0]) else 0
+        known = int(self.levels[0]["distinct"].sum())
         # a byte that all 256 known ones exclude cannot be asked for
         self.unknown = -math.log(max(1, 256 - known))
 
@@ -262,6 +271,69 @@ def trie_of(counts: DataFrame, order: int = ORDER, share: int = TRIE_SHARE) -> T
     return Trie(orders)
 
 
+def orders_of(grams_: np.ndarray, counts: np.ndarray, orders: range, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """What `Trie` takes for these orders, from strings of order + 1 bytes."""
+    out = []
+    for k in orders:
+        pairs, at = np.unique(grams_ & _masks(order)[k], return_inverse=True)
+        out.append((pairs, np.bincount(at, counts, len(pairs))))
+    return out
+
+
+def low_of(order: int) -> int:
+    """The last order that all parts share."""
+    return min(LOW, order - 1)
+
+
+def low_trie(grams_: DataFrame, order: int) -> Trie | None:
+    low = low_of(order)
+    if low < 0:
+        return None
+    short = F.col("gram").bitwiseAND(F.lit(int(_masks(order)[low])))
+    found = grams_.groupBy(short.alias("gram")).agg(F.sum("n").alias("n")).toArrow()
+    pairs, n = (found.column(c).to_numpy().astype(np.int64) for c in ("gram", "n"))
+    return Trie(orders_of(pairs.view(np.uint64), n.astype(np.float64), range(low + 1), order))
+
+
+def frequent(grams_: DataFrame, most: int) -> tuple[Table, np.ndarray, int]:
+    """The most frequent strings, at most `most`, with the logarithm of each
+    last byte; and how many strings there are."""
+    sizes = grams_.groupBy("n").agg(F.count("*").alias("k")).orderBy(F.desc("n")).toArrow()
+    n, k = (sizes.column(c).to_numpy().astype(np.int64) for c in ("n", "k"))
+    fits = int(np.searchsorted(np.cumsum(k), most, side="right"))
+    least = int(n[fits - 1]) if fits else (1 << 63) - 1
+    top = grams_.where(F.col("n") >= least).toArrow()
+    keys = top.column("gram").to_numpy().astype(np.int64).view(np.uint64)
+    contexts = (
+        grams_.groupBy(F.shiftrightunsigned("gram", 8).alias("context"))
+        .agg(F.sum("n").alias("total"), F.count("*").alias("distinct"), F.max("n").alias("most"))
+        .where(F.col("most") >= least)
+        .orderBy("context")
+        .toArrow()
+    )
+    total, distinct = (contexts.column(c).to_numpy() for c in ("total", "distinct"))
+    at = np.searchsorted(contexts.column("context").to_numpy().astype(np.int64), (keys >> np.uint64(8)).astype(np.int64))
+    logs = np.log(top.column("n").to_numpy().astype(np.float64)) - np.log((total + distinct).astype(np.float64))[at]
+    return Table(keys), logs, int(k.sum())
+
+
+def part_of(keys: np.ndarray, order: int, parts: int) -> np.ndarray:
+    """The part of each string, by the last bytes of its context."""
+    width = low_of(order) + 1
+    context = keys >> np.uint64(8) & np.uint64((1 << (8 * width)) - 1)
+    return (context * Table.MULTIPLIER >> np.uint64(33)).astype(np.int64) % parts
+
+
+def packs(keys: np.ndarray, beside: np.ndarray, order: int, parts: int) -> Iterator[tuple[int, bytes, bytes]]:
+    """(part, strings, what stands beside them) of each part that has some."""
+    part = part_of(keys, order, parts)
+    ranked = np.argsort(part, kind="stable")
+    keys, beside, part = keys[ranked], beside[ranked], part[ranked]
+    starts = np.flatnonzero(np.diff(part, prepend=-1))
+    for a, b in zip(starts, [*starts[1:], len(part)]):
+        yield int(part[a]), keys[a:b].tobytes(), beside[a:b].tobytes()
+
+
 # --- scoring -----------------------------------------------------------------
 
 _SCORED = pa.schema(
@@ -273,11 +345,71 @@ _SCORED = pa.schema(
 _SCORED_DDL = (
     "row long, doc_id long, word binary, n long, n_tokens long, n_known long, base double, score double"
 )
+#: Beside these: the part that a row goes to, and packed strings with their
+#: counts (`counts`) or with the rows that ask for them (`asking`).
+_DEALT = pa.schema(
+    [*_SCORED, ("part", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary()), ("asking", pa.binary())]
+)
+_DEALT_DDL = _SCORED_DDL + ", part int, grams binary, counts binary, asking binary"
+
+
+def _packed(found: list[tuple[int, bytes, bytes]], kind: str) -> pa.RecordBatch:
+    part, keys, beside = zip(*found)
+    columns = {"part": part, "grams": keys, kind: beside}
+    return pa.RecordBatch.from_arrays(
+        [pa.array(columns.get(f.name, [None] * len(part)), f.type) for f in _DEALT], schema=_DEALT
+    )
+
+
+def _deal_counts(order: int, parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                keys, n = (np.asarray(batch.column(c), np.int64) for c in (0, 1))
+                yield _packed(list(packs(keys.view(np.uint64), n, order, parts)), "counts")
+
+    return run
+
+
+def _answer(shared):
+    """Scores of the packed questions of a part, whose counts come first; other
+    rows pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low, order = shared.value
+        keys, counts, trie = [], [], None
+        for batch in batches:
+            plain = batch.filter(pc.is_null(batch.column("grams"))).select(_SCORED.names)
+            if plain.num_rows:
+                yield pa.RecordBatch.from_arrays(plain.columns, schema=_SCORED)
+            given = batch.filter(pc.is_valid(batch.column("counts")))
+            keys += [np.frombuffer(x, np.uint64) for x in given.column("grams").to_pylist()]
+            counts += [np.frombuffer(x, np.int64) for x in given.column("counts").to_pylist()]
+            asked = batch.filter(pc.is_valid(batch.column("asking")))
+            if not asked.num_rows:
+                continue
+            if trie is None:
+                every = np.concatenate([np.zeros(0, np.uint64), *keys])
+                n = np.concatenate([np.zeros(0, np.int64), *counts]).astype(np.float64)
+                trie = Trie(orders_of(every, n, range(low_of(order) + 1, order + 1), order), low)
+                del every, n
+                keys, counts = [], []
+            if keys:
+                raise ValueError("counts after questions")
+            wanted = np.frombuffer(b"".join(asked.column("grams").to_pylist()), np.uint64)
+            rows, at = np.unique(np.frombuffer(b"".join(asked.column("asking").to_pylist()), np.int64), return_inverse=True)
+            logs = np.bincount(at, trie.log_probabilities(wanted)) / math.log(10)
+            columns = {"row": rows, "word": [b" %d" % r for r in rows], "score": logs}
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(columns.get(f.name, [None] * len(rows)), f.type) for f in _SCORED], schema=_SCORED
+            )
+
+    return run
 
 
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, common, ground = shared.value
+        table, table_logs, order, parts, common, ground = shared.value
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             for part in slices(batch, "text"):
@@ -299,37 +431,44 @@ def _score(shared):
                     row += 1
                 if not texts:
                     continue
-                keys, starts = grams(texts, trie.order)
-                logs = np.add.reduceat(trie.log_probabilities(keys), starts) / math.log(10)
+                keys, starts = grams(texts, order)
+                at = table.find(keys)
+                missed = at < 0
+                logs = np.zeros(len(keys))
+                logs[~missed] = table_logs[at[~missed]]
+                logs = np.add.reduceat(logs, starts) / math.log(10)
                 rows, ids, sizes, known, bases = zip(*docs)
+                if missed.any():
+                    asking = np.repeat(np.array(rows, np.int64), np.diff(starts, append=len(keys)))[missed]
+                    yield _packed(list(packs(keys[missed], asking, order, parts)), "asking")
                 # a document's own row has a key that no word can equal
                 own = [b" %d" % r for r in rows]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(c, t)
-                        for c, t in zip((rows, ids, own, [None] * len(rows), sizes, known, bases, logs), _SCORED.types)
-                    ],
-                    schema=_SCORED,
-                )
+                yield _passing(rows, ids, own, [None] * len(rows), sizes, known, bases, logs, parts)
                 if rare:
                     rows, words, n = zip(*rare)
                     nulls = [None] * len(rows)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(c, t)
-                            for c, t in zip((rows, nulls, words, n, nulls, nulls, nulls, nulls), _SCORED.types)
-                        ],
-                        schema=_SCORED,
-                    )
+                    yield _passing(rows, nulls, words, n, nulls, nulls, nulls, nulls, parts)
 
     return run
 
 
+def _passing(rows, *columns) -> pa.RecordBatch:
+    *columns, parts = columns
+    part = np.arange(len(rows)) % parts
+    nulls = [None] * len(rows)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, t) for c, t in zip((rows, *columns, part, nulls, nulls, nulls), _DEALT.types)], schema=_DEALT
+    )
+
+
 def score(docs: DataFrame, training: DataFrame, order: int = ORDER, share: int = TRIE_SHARE, word_share: int = WORD_SHARE) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of `docs`,
     learned from the texts of `training`; scores are base-10 logarithms."""
     counts = count(training, order)
-    trie = trie_of(counts, order, share)
+    grams_ = counts.where(F.col("gram").isNotNull()).select("gram", "n")
+    low = low_trie(grams_, order)
+    table, table_logs, distinct = frequent(grams_, share)
+    parts = max(shuffle_partitions(docs.sparkSession), -(-distinct // PART_GRAMS))
     words = counts.where(F.col("word").isNotNull()).select(F.col("word").alias("_word"), F.col("n").alias("_c"))
     n, v = words.agg(F.coalesce(F.sum("_c"), F.lit(0)), F.count("*")).first()
     # the end, a word of every text, is known to the tasks in any case
@@ -338,8 +477,16 @@ def score(docs: DataFrame, training: DataFrame, order: int = ORDER, share: int =
     common = dict(zip(common.column(0).to_pylist(), common.column(1).to_pylist()))
     common.setdefault(END_WORD, 0)  # nothing to train on
     ground = math.log10(n + (v + 1))
-    shared = docs.sparkSession.sparkContext.broadcast((trie, common, ground))
-    scored = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_score(shared), _SCORED_DDL)
+    send = docs.sparkSession.sparkContext.broadcast
+    shared = send((table, table_logs, order, parts, common, ground))
+    asked = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_score(shared), _DEALT_DDL)
+    scored = (
+        grams_.mapInArrow(_deal_counts(order, parts), _DEALT_DDL)
+        .union(asked)
+        .repartitionById(parts, F.col("part"))
+        .sortWithinPartitions(F.col("counts").isNull())
+        .mapInArrow(_answer(send((low, order))), _SCORED_DDL)
+    )
     rare = words.where(~travels)
     c = F.coalesce("_c", F.lit(0))
     return (
@@ -350,7 +497,7 @@ def score(docs: DataFrame, training: DataFrame, order: int = ORDER, share: int =
             F.max("n_tokens").alias("n_tokens"),
             F.sum(F.coalesce("n_known", F.when(c > 0, F.col("n")).otherwise(0))).alias("n_known"),
             F.sum(F.coalesce("base", F.col("n") * (F.log10(c + 1) - ground))).alias("base_score"),
-            F.max("score").alias("score"),
+            F.sum("score").alias("score"),
         )
         .select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
     )

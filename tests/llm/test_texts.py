@@ -217,6 +217,25 @@ def test_ppm_pruned_trie_is_a_distribution(spark):
         assert np.exp(trie.log_probabilities(keys)).sum() == pytest.approx(1)
 
 
+@pytest.mark.parametrize("order", [1, 2, 3, 5])
+@pytest.mark.parametrize("share", [0, 20, 1 << 22])
+def test_ppm_keeps_rare_contexts(spark, order, share):
+    """Scores do not depend on how many strings travel with the tasks."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdef") for _ in range(rng.randint(1, 6))) for _ in range(80)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 30))) for _ in range(40)]
+    docs = spark.createDataFrame([doc(i, t) for i, t in enumerate(texts)], DOCS)
+    trie = ppm.AdaptiveTrie(order)
+    for t in texts[:30]:
+        data = ppm.END * order + ppm.sequence(ppm.words_of(t))
+        for i in range(order, len(data)):
+            trie.add(data[i - order : i], data[i])
+    found = {r.doc_id: r.score for r in ppm.score(docs, docs.where("doc_id < 30"), order, share=share).collect()}
+    for i, t in enumerate(texts):
+        log = trie.code(ppm.sequence(ppm.words_of(t)), learn=False) / math.log(10)
+        assert found[i] == pytest.approx(log, rel=1e-9)
+
+
 def test_ppm_without_training(spark):
     docs = odd_docs(spark)
     found = ppm.score(docs, no_docs(spark)).collect()
