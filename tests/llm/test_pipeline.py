@@ -64,3 +64,11 @@ def test_run_equals_the_stages(spark):
     assert sorted(r.doc_id for r in ran.select("doc_id").collect()) == sorted(
         r.doc_id for r in by_hand.select("doc_id").collect()
     )
+
+
+def test_the_mix_keeps_a_hot_source_whole(spark):
+    rows = [doc(i, f"text {i}", "hot") for i in range(90)] + [doc(100 + i, f"text {i}", f"s{i % 3}") for i in range(9)]
+    rows += [doc(200, "x", None), doc(200, "x", None), doc(None, "x", "hot")]
+    docs = spark.createDataFrame(rows, DOCS)
+    mixed = dict(corpus_pipeline.STAGES)["mix_sources"](spark, docs, SMALL)
+    assert sorted(map(repr, mixed.collect())) == sorted(map(repr, docs.collect()))
