@@ -1,5 +1,6 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express."""
 
+from glossweave.llm.decontamination import WINDOW
 from glossweave.llm.line_dedup import MIN_PAGES, RATIO
 from glossweave.llm.mixing import BLOCK_DOCS, MAX_SHARE, PERIOD
 from glossweave.llm.quality_rules import RULES, STOP_WORDS
@@ -119,3 +120,76 @@ SQL["op6_mix_sources"] = (
     + f"""select doc_id, source, n_in_source, block, slot, slot * {BLOCK_DOCS} + n_in_source % {BLOCK_DOCS} as position,
     coalesce(mixed, false) mixed from x"""
 )
+
+SQL["op11_hard_negatives"] = """
+with s as (select vec_id::bigint id, (case when vec_id % 7 = 0 then (label + 1) % 10 else label end)::bigint label,
+      embedding from embeddings
+    where vec_id is not null and label is not null and embedding is not null
+      and len(list_filter(embedding, lambda x: x is null or not isfinite(x::double))) = 0),
+v as (select distinct id, label, list_transform(embedding, lambda x: floor(256 * x::double)) x from s),
+p as (select a.id anchor_id, a.label a_label, b.id, b.label, list_inner_product(a.x, b.x)::bigint score
+      from v a join v b on a.id <> b.id where a.id % 50 = 0),
+g as (select anchor_id, id positive_id, score positive_score from p where label = a_label
+      qualify row_number() over (partition by anchor_id order by score desc, id) <= 5),
+n as (select g.*, p.id negative_id, p.score negative_score,
+        row_number() over (partition by g.anchor_id, positive_id order by p.score desc, p.id)::int as rank
+      from g join p on g.anchor_id = p.anchor_id and label <> a_label
+        and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from n where rank <= 3
+"""
+
+_ITEM_WORDS = r"""list_filter(regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"""
+
+CONTAMINATED = f"""
+with d as (select row_number() over () rid, doc_id, {_ITEM_WORDS} ws from {{docs}}),
+b as (select coalesce(item_id::varchar, '') item, {_ITEM_WORDS} ws from {{items}}),
+i as (select item, least(len(ws), {WINDOW}) l, unnest(range(1, greatest(len(ws) - {WINDOW - 1}, 1) + 1)) s, ws
+      from b where len(ws) > 0),
+w as (select distinct item, l, array_to_string(ws[s:s + l - 1], ' ') win from i),
+ls as (select distinct l from w),
+t as (select rid, unnest(range(len(ws))) s, unnest(ws) word from d),
+p as (select rid, s, l, string_agg(word, ' ') over (partition by rid, l order by s rows between current row and (l - 1) following) win
+      from t, ls),
+o as (select rid, s, l, item from p join w using (l, win)),
+h as (select rid, count(distinct k) n_hit from (select rid, unnest(range(s, s + l)) k from (select distinct rid, s, l from o)) group by rid),
+m as (select rid, count(*) n_items, string_agg(item, ',' order by item) items from (select distinct rid, item from o) group by rid),
+x as (select doc_id, len(ws)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items,
+        sha256(coalesce(items, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+      from d left join h using (rid) left join m using (rid))
+"""
+
+SQL["op12_decontaminate"] = CONTAMINATED.format(docs="documents", items="benchmark") + "select * from x"
+
+# the remainder of the reflected polynomial, a bit at a time
+_CRC32 = """xor(list_reduce(list_concat([4294967295::bigint], flatten(list_transform(string_split(conv_id::varchar, ''),
+    lambda c: [ascii(c)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, x: case when x >= 0 then xor(a, x) when a % 2 = 1 then xor(a // 2, 3988292384) else a // 2 end), 4294967295)"""
+
+PREFIX_TRIE = f"""
+with t as (select conv_id::bigint conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+        row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) i
+      from {{conversations}} where conv_id is not null),
+c as (select conv_id, max(i) n, {_CRC32} % 4 h, conv_id - conv_id % 20 base from t group by conv_id),
+u as (select c.conv_id, i, {{{{'role': t.role, 'text': t.text}}}} turn from c join t on t.conv_id = c.base where i <= h
+      union all
+      select c.conv_id, i + 10, {{{{'role': t.role, 'text': t.text}}}} from c join t on t.conv_id = c.conv_id where i > h),
+s as (select conv_id, coalesce(list(turn order by i) filter (turn is not null), []) seq
+      from c left join u using (conv_id) group by conv_id),
+r as (select conv_id, len(seq) n, unnest(range(len(seq) + 1)) depth, seq from s),
+m as (select conv_id, n, depth, seq[1:depth] pre from r),
+e as (select pre, depth, min(conv_id) id, count(*) n_convs,
+        sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (n = depth), '')) ends_sha256
+      from m group by pre, depth),
+f as (select e.*, pre[1:depth - 1] up, case when depth = 0 then 0 else
+        (n_convs - 1) * len(regexp_extract_all(pre[depth].text, '[^\\x20\\x09-\\x0D]+')) end saves from e),
+k as (select up, depth - 1 depth, count(*) n_children from f where depth > 0 group by up, depth),
+g as (select f.*, coalesce(n_children, 0) n_children from f left join k on k.up = f.pre and k.depth = f.depth),
+z as (select pre, saves, (n_children = 0)::int leaf, unnest(range(depth + 1)) d from g),
+y as (select pre[1:d] pre, sum(leaf) n_leaves, sum(saves) saved from z group by pre[1:d]),
+x as (select g.id::bigint conv_id, g.depth::bigint as depth, p.id::bigint parent_conv_id, g.n_convs::bigint n_convs,
+        g.n_children::bigint n_children, n_leaves::bigint n_leaves, saved::bigint saved_tokens, g.ends_sha256
+      from g join y on y.pre = g.pre left join e p on g.depth > 0 and p.pre = g.up and p.depth = g.depth - 1)
+"""
+
+SQL["op13_prefix_trie"] = PREFIX_TRIE.format(conversations="conversations") + "select * from x"

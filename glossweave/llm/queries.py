@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossweave.llm import bpe, chat, fingerprints, jaccard, line_dedup, mixing, ppm, quality_model, quality_rules, url_filter
+from glossweave.llm import (
+    bpe,
+    chat,
+    decontamination,
+    fingerprints,
+    hard_negatives,
+    jaccard,
+    line_dedup,
+    mixing,
+    ppm,
+    prefix_trie,
+    quality_model,
+    quality_rules,
+    url_filter,
+)
 from glossweave.llm.oracle import SQL
 from glossweave.session import ship_package
 
@@ -120,5 +134,25 @@ def op10_byte_bpe(spark, d):
     return bpe.digests(table(spark, d, "documents"), RANK_FILE, public_tokenizers.PATTERN)
 
 
+@query
+def op11_hard_negatives(spark, d):
+    """The hardest rows of other labels of each anchor and positive."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hard_negatives.integer_rows(table(spark, d, "embeddings"), "vec_id", label, "embedding")
+    return hard_negatives.mine(rows, F.col("id") % 50 == 0)
+
+
+@query
+def op12_decontaminate(spark, d):
+    """Words of every document that stand in windows of benchmark items."""
+    return decontamination.contamination(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+@query
+def op13_prefix_trie(spark, d):
+    """Every node of the trie of rebuilt conversations."""
+    return prefix_trie.trie(table(spark, d, "conversations"))
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
