@@ -8,11 +8,12 @@ threshold join after L2AP finds all pairs that score a threshold or more:
   leading dimensions of a row while the norm up to there, times the norm of the
   largest anchor, stays under the threshold: rows that meet an anchor only there
   cannot reach it.
-* Indexed dimensions are taken from the last back. After each step a pair is
-  dropped once its partial score plus the product of what remains of both norms
-  is under the threshold. What survives is finished with the dimensions left
-  out of the index.
-* Thresholds start high and are lowered, anchor by anchor, until the anchor's
+* Indexed dimensions are taken from the last back. A pair is dropped once its
+  partial score plus the product of what remains of both norms is under the
+  threshold. What survives is finished with the dimensions before, those left out
+  of the index included.
+* Thresholds start high, where a sample of the block says that a few more rows
+  than are wanted will be, and are lowered, anchor by anchor, until the anchor's
   windows are full or the least score that can count is reached. Windows that are
   full at a threshold hold the best of the block, since nothing above it is
   missing; the best of all blocks are among the best of each.
@@ -49,12 +50,12 @@ ANCHOR_BLOCK = 4_096
 ITEM_BLOCK = 16_384
 # pairs held as one matrix
 CELLS = 2_000_000
-# dimensions that are taken at one time
-STEP = 8
-# shares of the highest possible score, one lowered threshold each
-SHARES = (0.6, 0.4, 0.25, 0.12)
-# below this share of surviving pairs they are kept as a list
-DENSE = 0.2
+# rows of a block whose scores say where thresholds may begin
+SAMPLE = 256
+# winners that a first threshold is meant to find, for each that is wanted
+SPARE = 4
+# below this share of surviving pairs they are finished one by one
+SPARSE = 0.005
 MOST = 1 << 62
 # thresholds that every score, or none, reaches
 EVERY, NONE = -(1 << 62), 1 << 62
@@ -152,46 +153,44 @@ class BlockIndex:
 
     def reaching(self, anchors: np.ndarray, thresholds: np.ndarray):
         """(anchor, row, score) of all pairs that score their anchor's threshold
-        or more. `anchors` have the index's order of dimensions."""
-        wide = anchors.shape[1]
-        if not wide or thresholds.min() <= 0:
+        or more. `anchors` have the index's order of dimensions.
+
+        The last dimensions are summed first, down to where what remains of any
+        pair is worth half the least threshold; before that, little can be
+        dropped. Only pairs whose sum and remaining norms reach the threshold go
+        on: all together while they are many, one by one when they are few."""
+        wide, least = anchors.shape[1], thresholds.min(initial=0)
+        kind = _number_type(anchors, self.rows)
+        typed = anchors.astype(kind)
+        if not wide or least <= 0:
             # at or under zero no dimension can be left out
-            kind = _number_type(anchors, self.rows)
-            scores = (anchors.astype(kind) @ self.rows.astype(kind).T).astype(np.int64)
-            a, r = np.nonzero(scores >= thresholds[:, None])
-            return a, r, scores[a, r]
+            return _over(typed @ self.rows.astype(kind).T, thresholds, np.arange(len(self.rows)))
         norms = _norms(anchors)
-        kind = _number_type(anchors, self.rows)
-        out = self.left_out(thresholds.min(), norms[:, -1].max())
+        out = self.left_out(least, norms[:, -1].max())
         alive = np.nonzero(out < wide)[0]
-        rows, left, rest = self.rows[alive], out[alive], self.norms[alive]
-        typed = anchors.astype(kind)
-        partial = np.zeros((len(anchors), len(alive)), kind)
-        j = wide
-        while j > 0 and len(alive):
-            down = max(0, j - STEP)
-            # a row has postings of dimensions from its first indexed one on
-            indexed = np.where(np.arange(down, j) >= left[:, None], rows[:, down:j], 0).astype(kind)
-            partial += typed[:, down:j] @ indexed.T
-            j = down
-            # what remains: dimensions before j, and those left out of the index
-            open_to = np.maximum(left, j)
-            bound = partial + norms[:, open_to] * rest[np.arange(len(alive)), open_to]
-            # a hair more, for rounded sums of large numbers
-            keep = bound + 1e-12 * np.abs(bound) + 1 >= thresholds[:, None]
-            share = keep.mean()
-            if share < DENSE:
-                a, r = np.nonzero(keep)
-                return self._finished(anchors, thresholds, alive, a, r)
-            used = keep.any(0)
-            if not used.all():
-                alive, rows, left, rest, partial = alive[used], rows[used], left[used], rest[used], partial[:, used]
-        a, r = np.nonzero(np.ones((len(anchors), len(alive)), bool))
-        return self._finished(anchors, thresholds, alive, a, r)
-
-    def _finished(self, anchors, thresholds, alive, a, r):
+        if not len(alive):
+            return _over(np.zeros((len(anchors), 0), kind), thresholds, alive)
+        rows, rest = self.rows[alive].astype(kind), self.norms[alive]
+        worth = norms.max(0) * rest.max(0)
+        half = int(np.searchsorted(worth, least / 2, side="right")) - 1
+        at = min(max(half, int(out[alive].max()), 1), wide - 1)
+        # postings: dimensions from `at` on are in the index of every row
+        partial = typed[:, at:] @ rows[:, at:].T
+        wider = np.float32 if kind == np.float32 else np.float64
+        # a hair more, for rounded sums
+        short = thresholds.astype(wider)[:, None] * wider(1 - 1e-5) - 1 - partial
+        keep = norms[:, at].astype(wider)[:, None] * rest[:, at].astype(wider) * wider(1 + 1e-5) >= short
+        share = keep.mean()
+        if share < SPARSE:
+            a, r = np.nonzero(keep)
+            return self._finished(anchors, thresholds, a, alive[r])
+        used = keep.any(0)
+        if not used.all():
+            alive, rows, partial = alive[used], rows[used], partial[:, used]
+        return _over(partial + typed[:, :at] @ rows[:, :at].T, thresholds, alive)
+
+    def _finished(self, anchors, thresholds, a, r):
         """Scores of the pairs that are left."""
-        r = alive[r]
         score = np.empty(len(a), np.int64)
         for at in range(0, len(a), 65_536):
             here = slice(at, at + 65_536)
@@ -199,13 +198,23 @@ class BlockIndex:
         kept = score >= thresholds[a]
         return a[kept], r[kept], score[kept]
 
+    def usual(self, anchors: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """The score that about `rows` of the block's rows reach, for each anchor,
+        as a sample of them has it."""
+        some = self.rows[:: max(1, len(self.rows) // SAMPLE)]
+        if not len(some):
+            return np.zeros(len(anchors), np.int64)
+        kind = _number_type(anchors, some)
+        scores = np.sort(anchors.astype(kind) @ some.astype(kind).T, axis=1)[:, ::-1]
+        place = np.clip(np.ceil(rows * len(some) / max(1, len(self.rows))).astype(int) - 1, 0, len(some) - 1)
+        return scores[np.arange(len(anchors)), place].astype(np.int64)
+
 
-def _levels(anchors: np.ndarray, index: BlockIndex, least: np.ndarray) -> Iterator[np.ndarray]:
-    """Thresholds of all anchors, from high to the least that counts."""
-    top = _norms(anchors)[:, -1] * (index.norms[:, -1].max() if len(index.norms) else 0.0)
-    for share in SHARES:
-        yield np.maximum(np.minimum(top * share, NONE).astype(np.int64), least)
-    yield least
+def _over(scores: np.ndarray, thresholds: np.ndarray, rows: np.ndarray):
+    """Pairs at or over their threshold, by whole scores."""
+    # in the type of the scores: it holds all of them exactly, and more
+    a, r = np.nonzero(scores >= thresholds.astype(scores.dtype)[:, None])
+    return a, rows[r], scores[a, r].astype(np.int64)
 
 
 def _best(group: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -225,20 +234,28 @@ def _chunks(anchors: int, items: int) -> Iterator[slice]:
 def best_of_own_label(a_ids, a_labels, anchors, ids, labels, index: BlockIndex, k: int):
     """(anchor, row, score): the block's k best rows of each anchor's label."""
     found = []
+    # as many rows of any label as are likely to hold enough of the anchor's own
+    known, count = np.unique(labels, return_counts=True)
+    size = np.zeros(len(anchors), np.int64)
+    if len(known):
+        place = np.minimum(np.searchsorted(known, a_labels), len(known) - 1)
+        size = np.where(known[place] == a_labels, count[place], 0)
+    rows = SPARE * k * len(ids) / np.maximum(size, 1)
+    levels = [index.usual(anchors, rows), index.usual(anchors, 4 * rows), np.full(len(anchors), EVERY)]
     for part in _chunks(len(anchors), len(ids)):
-        todo = np.arange(len(anchors))[part]
-        for level in _levels(anchors, index, np.full(len(anchors), EVERY)):
+        todo = np.nonzero(size > 0)[0][part]
+        for level in levels:
+            if not len(todo):
+                break
             a, r, s = index.reaching(anchors[todo], level[todo])
             a = todo[a]
             own = (labels[r] == a_labels[a]) & (ids[r] != a_ids[a])
             a, r, s = a[own], r[own], s[own]
-            full = (np.bincount(a, minlength=len(anchors)) >= k) | (level == EVERY)
+            full = (np.bincount(a, minlength=len(anchors)) >= np.minimum(k, size)) | (level == EVERY)
             won = _best(a, s, ids[r], k)
             won = won[full[a[won]]]
             found.append((a[won], r[won], s[won]))
             todo = todo[~full[todo]]
-            if not len(todo):
-                break
     return _joined(found, 3)
 
 
@@ -247,11 +264,17 @@ def best_in_windows(a_ids, a_labels, anchors, least, most, ids, labels, index: B
     each window. `least` and `most`: a row per anchor, a column per window; where
     there is none, `NONE` and `EVERY`."""
     found = []
-    floor = least.min(axis=1)
+    floor = least.min(axis=1, initial=NONE)
     has = np.nonzero(floor < NONE)[0]
+    # under the lowest upper end, or lower where scores are usually lower
+    top = np.where(most > EVERY, most, NONE).min(axis=1, initial=NONE)
+    first = np.minimum(index.usual(anchors, np.full(len(anchors), 4 * SPARE * k)), (top * 0.97).astype(np.int64))
+    levels = [np.maximum(x, floor) for x in (first, np.minimum(first, (top * 0.8).astype(np.int64)), floor)]
     for part in _chunks(len(has), len(ids)):
         todo = has[part]
-        for level in _levels(anchors, index, floor):
+        for level in levels:
+            if not len(todo):
+                break
             a, r, s = index.reaching(anchors[todo], level[todo])
             a = todo[a]
             other = (labels[r] != a_labels[a]) & (ids[r] != a_ids[a])
@@ -266,8 +289,6 @@ def best_in_windows(a_ids, a_labels, anchors, least, most, ids, labels, index: B
                 kept = full[rows[0]]
                 found.append(tuple(c[kept] for c in rows))
             todo = todo[~full[todo]]
-            if not len(todo):
-                break
     return _joined(found, 4)
 
 
