@@ -26,6 +26,7 @@ import heapq
 import json
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,8 @@ PIECE_SHARE = 1 << 20
 HELD = 1 << 17
 #: Bytes of a piece beyond which a heap merges it.
 LONG = 64
+#: Merged pieces that a worker keeps beside the common ones.
+RARE = 1 << 16
 RANK_BUCKETS = 1 << 13
 
 
@@ -247,24 +250,68 @@ def piece_table(docs: DataFrame, ranks: dict[bytes, int], pattern: str, share: i
 
 
 class Encoder:
-    """Encodes the texts of a task."""
+    """Encodes texts, piece by piece: the common ones by the table; others are
+    merged when they are met, and `RARE` of them are kept for the texts after."""
 
     def __init__(self, rank_data: bytes, pattern: str, common: bytes):
         """The rank file's content; the piece table as an Arrow stream."""
         self.ranks = parse_ranks(rank_data)
         self.find, self.merger = regex.compile(pattern).findall, Merger(self.ranks)
-        self.common = {}
+        self.ids: dict[str, str] = {}
         for batch in pa.ipc.open_stream(common):
-            self.common.update(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            self.ids.update(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        self.rare: list[str] = []
+        # tokens of each piece, and their bytes, once a text is decoded
+        self.sizes: dict[str, int] = {}
+        self.bytes: dict[str, bytes] = {}
+
+    def pieces(self, texts: list[str]) -> list[list[str]]:
+        """Pieces of each text; the ids of all of them are known afterwards."""
+        found = [self.find(t) for t in texts]
+        if len(self.rare) > RARE:
+            for known in (self.ids, self.sizes, self.bytes):
+                for p in self.rare:
+                    known.pop(p, None)
+            self.rare = []
+        new = list(set().union(*found).difference(self.ids))
+        merged = self.merger.encode([p.encode() for p in new])
+        self.ids.update((p, ",".join(map(str, i))) for p, i in zip(new, merged))
+        self.rare += new
+        return found
 
     def encode(self, texts: list[str]) -> list[str]:
         """Ids of each text, as decimal numbers joined by commas."""
-        found = [self.find(t) for t in texts]
-        common = self.common
-        rare = list({p for pieces in found for p in set(pieces) if p not in common})
-        ids = self.merger.encode([p.encode() for p in rare])
-        known = {p: ",".join(map(str, i)) for p, i in zip(rare, ids)}
-        return [",".join([common.get(p) or known[p] for p in pieces]) for pieces in found]
+        return [",".join(map(self.ids.__getitem__, pieces)) for pieces in self.pieces(texts)]
+
+    def round_trip(self, texts: list[str]) -> Iterator[tuple[str, int, bytes]]:
+        """Ids of each text, how many, and the bytes that they decode to. The ids
+        of a piece are decoded when it is first met."""
+        found = self.pieces(texts)
+        for piece in set().union(*found).difference(self.bytes):
+            numbers = self.ids[piece].split(",")
+            self.sizes[piece] = len(numbers)
+            self.bytes[piece] = b"".join([self.tokens[int(i)] for i in numbers])
+        for pieces in found:
+            yield (
+                ",".join(map(self.ids.__getitem__, pieces)),
+                sum(map(self.sizes.__getitem__, pieces)),
+                b"".join(map(self.bytes.__getitem__, pieces)),
+            )
+
+    @cached_property
+    def tokens(self) -> dict[int, bytes]:
+        return {rank: token for token, rank in self.ranks.items()}
+
+
+_LAST: list = []
+
+
+def _encoder(shared) -> Encoder:
+    """The encoder of a worker's last task, if it was for the same broadcast."""
+    value = shared.value
+    if not _LAST or _LAST[0] is not value:
+        _LAST[:] = value, Encoder(*value)
+    return _LAST[1]
 
 
 def _shared(docs: DataFrame, rank_file: str, pattern: str, share: int):
@@ -283,7 +330,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, share: int = PIECE_SHA
     shared = _shared(docs, rank_file, pattern, share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(*shared.value)
+        encoder = _encoder(shared)
         for batch in batches:
             for part in slices(batch, "text"):
                 made = encoder.encode(text_column(part, "text").to_pylist())
@@ -319,17 +366,14 @@ def digests(docs: DataFrame, rank_file: str, pattern: str, share: int = PIECE_SH
     shared = _shared(docs.select("doc_id", "text"), rank_file, pattern, share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(*shared.value)
-        piece_of = {str(rank): token for token, rank in encoder.ranks.items()}.__getitem__
+        encoder = _encoder(shared)
         for batch in batches:
             for part in slices(batch, "text"):
-                made = encoder.encode(text_column(part, "text").to_pylist())
                 sizes, hashes, decoded = [], [], []
-                for ids in made:
-                    numbers = ids.split(",") if ids else []
-                    sizes.append(len(numbers))
+                for ids, size, raw in encoder.round_trip(text_column(part, "text").to_pylist()):
+                    sizes.append(size)
                     hashes.append(hashlib.sha256(ids.encode()).hexdigest())
-                    decoded.append(hashlib.sha256(b"".join(map(piece_of, numbers))).hexdigest())
+                    decoded.append(hashlib.sha256(raw).hexdigest())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(hashes), pa.array(decoded)],
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
