@@ -541,3 +541,46 @@ select date_trunc('day', ts)::timestamp window_start, user_id client, count(*) r
 )
 SQL["stm2_stream_ingest"] = SQL["par13_parse_lexicon"]
 SQL["stm3_quota_report_stream"] = SQL["stm3_quota_report"]
+
+# --- what is stored, and found again ----------------------------------------
+
+add(
+    src1_read_lines_in_order=f"with {LINES} select doc_id, line_no, line from ln",
+    par3_rejected_blocks=f"""with {LINE_BLOCKS}
+select doc_id, block_no, block from lb where not contains(block,'}}') and mark_at > 0 and w = ''""",
+    ana4_leftover_brackets_of_tags="""
+select page_id, word, count(*) n
+from (select page_id, unnest(string_split(translate(html,'<>','[]'),' ')) word from pages)
+where length(replace(word,'[','')) <> length(replace(word,']','')) group by page_id, word""",
+    snk2_key_group_vectors=f"""{LEX},
+pt as (select distinct key, ((row_number() over (partition by key order by entry_id) - 1) // 10000)::bigint part from lex),
+kp as (select distinct key, '^'||key||'$' p from lex where key <> ''),
+kt as (select key, g, count(*) tf from
+        (select key, unnest(list_concat(list_transform(range(1,length(p)+1), lambda i: p[i]),
+                                        list_transform(range(1,length(p)), lambda i: p[i:i+1]))) g from kp)
+       group by key, g),
+v as (select key, string_agg(g||':'||tf, '|' order by g||':'||tf) vector from kt group by key)
+select key, part, coalesce(vector, '') vector from pt left join v using (key)""",
+    snk2_search_key_groups=f"""{LEX_SEARCH}{top_keys(10)}
+select query_id, group_rank rank, key, score, n_entries from uq join best using (q_key)
+join (select key, least(count(*), 10000)::int n_entries from lex group by key) using (key)""",
+    sim9_locate_reference_spans=f"""with recursive {ENTRIES.lstrip()},
+rn as (select entry_id, refs, list_filter(string_split(definition,'_'), lambda x: x <> '') r from lex where len(refs) > 0),
+st(entry_id, refs, r, run_no, n, c, ref_no, hit_run, start) as (
+  select entry_id, refs, r, 1, 0, 1, null::int, null::int, null::int from rn
+  union all
+  select entry_id, refs, r, case when at > 0 then run_no else run_no + 2 end, case when at > 0 then n + 1 else n end,
+         case when at > 0 then at + length(refs[n + 1])::int else 1 end,
+         case when at > 0 then n end, case when at > 0 then run_no end, case when at > 0 then at - 1 end
+  from (select *, (case when refs[n + 1] = '' then c
+                        when strpos(substr(r[run_no + 1], c), refs[n + 1]) > 0
+                        then c - 1 + strpos(substr(r[run_no + 1], c), refs[n + 1]) else 0 end)::int at
+        from st where n < len(refs) and run_no < len(r)))
+select entry_id, ref_no, refs[ref_no + 1] reference, hit_run run_no, start from st where ref_no is not null""",
+    sim11_graph_recall=f"""{VECTORS}
+select count(*) exact_pairs, true enough from (select *, row_number() over (partition by query_id
+  order by score desc, vec_id) rank from p) where rank <= 10""",
+)
+SQL["sim12_pruned_search"] = SQL["sim12_vector_search"]
+SQL["sim12_pruned_search_by_label"] = SQL["sim12_vector_search_by_label"]
+SQL["stm2_stream_merge"] = SQL["par13_parse_lexicon"]

@@ -17,11 +17,14 @@ from glossweave.operators import embeddings as E
 from glossweave.operators import markup as M
 from glossweave.operators import parse as P
 from glossweave.operators import search as S
+from glossweave.operators import search_index as I
 from glossweave.operators import segment as G
 from glossweave.operators import store as W
+from glossweave.operators import vector_index as X
 from glossweave.operators import vectors as V
 from glossweave.plans.lexicon import (
     ORDER_COLUMNS,
+    consecutive_blocks,
     parse_lexicon,
     parse_lexicon_lines,
     with_key,
@@ -33,6 +36,7 @@ from glossweave.sources.lines import (
     read_lines,
     read_texts,
 )
+from glossweave.streaming import ingest as N
 from glossweave.streaming import jobs as J
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -118,6 +122,32 @@ def stored_lexicon(spark: SparkSession, d: str) -> DataFrame:
     return read_lexicon(spark, _STORED[slot])
 
 
+_INDEXED: dict[tuple[str, str], I.IndexPointer] = {}
+
+
+def stored_index(spark: SparkSession, d: str) -> I.SearchIndex:
+    """The search index of the stored lexicon, published once per session and
+    source, opened by its pointer."""
+    slot = (spark.sparkContext.applicationId, d)
+    if slot not in _INDEXED:
+        _INDEXED[slot] = I.publish_index(stored_lexicon(spark, d), scratch_path(spark, "indexes"), "lexicon")
+    return _INDEXED[slot].open(spark)
+
+
+_VECTORS: dict[tuple[str, str], str] = {}
+
+
+def vector_index(spark: SparkSession, d: str) -> X.VectorIndex:
+    """The index of the embeddings, with labels and graphs, written once per
+    session and source."""
+    slot = (spark.sparkContext.applicationId, d)
+    if slot not in _VECTORS:
+        path = scratch_path(spark, "vector-index")
+        X.write_vector_index(table(spark, d, "embeddings"), path, "label", graphs=True)
+        _VECTORS[slot] = path
+    return X.open_vector_index(spark, _VECTORS[slot])
+
+
 def _references(c: str = "referenced_words"):
     return F.array_join(c, "|").alias("refs")
 
@@ -133,6 +163,26 @@ def src1_read_lines(spark, d):
     return found.groupBy("line").agg(F.count("*").alias("n"))
 
 
+@query
+def src1_read_lines_in_order(spark, d):
+    """Lines of files that hold many texts each, with the text and the place of
+    each line: a line with the id stands before every text."""
+    path = scratch_path(spark, "marked")
+    marked = F.concat(F.lit("@text "), F.col("doc_id"), F.lit("\n"), F.col("text"))
+    texts(spark, d).select(marked).write.text(path)
+    read = read_lines(spark, path).withColumnRenamed("doc_id", "file")
+    number = F.regexp_extract("line", r"^@text (\d+)$", 1)
+    begun = read.where(number != "").select("file", F.col("line_no").alias("at"), number.cast("bigint").alias("doc_id"))
+    # a text's lines are those up to the next mark of its file
+    until = Window.partitionBy("file").orderBy("at")
+    spans = begun.withColumn("until", F.lead("at").over(until))
+    inside = (F.col("s.at") < F.col("line_no")) & (F.col("s.until").isNull() | (F.col("line_no") < F.col("s.until")))
+    found = read.join(spans.select("file", F.struct("at", "until", "doc_id").alias("s")), "file").where(inside)
+    return consecutive_blocks(
+        found.select(F.col("s.doc_id").alias("doc_id"), F.col("line_no").alias("block_no"), "line")
+    ).select("doc_id", F.col("block_no").alias("line_no"), "line")
+
+
 @query
 def src1_read_texts(spark, d):
     path = scratch_path(spark, "books")
@@ -180,6 +230,24 @@ def snk2_write_key_groups(spark, d):
     )
 
 
+@query
+def snk2_key_group_vectors(spark, d):
+    """The vector that every document of a key carries."""
+    path = scratch_path(spark, "groups")
+    W.write_key_groups(stored_lexicon(spark, d), path)
+    listed = F.transform("vector", lambda g: F.concat_ws(":", g["gram"], g["tf"].cast("string")))
+    return spark.read.parquet(path).select("key", "part", F.array_join(F.array_sort(listed), "|").alias("vector"))
+
+
+@query
+def snk2_search_key_groups(spark, d):
+    """Best key groups of the user terms, from the vectors of the documents."""
+    path = scratch_path(spark, "groups")
+    W.write_key_groups(stored_lexicon(spark, d), path)
+    found = S.search_groups(user_terms(spark, d), spark.read.parquet(path), 10)
+    return found.select("query_id", "rank", "key", "score", "n_entries").where("part = 0")
+
+
 @query
 def snk3_json_payload(spark, d):
     payload = W.to_json_payload(stored_lexicon(spark, d))
@@ -278,12 +346,19 @@ def par2_clean_headword(spark, d):
 
 @query
 def par3_reject_empty(spark, d):
-    """Lines read as blocks: those without a headword, counted by document."""
+    """Lines read as blocks: those with a headword, counted by document."""
     found = _line_blocks(spark, d)
     kept = P.split_entries(found).groupBy("doc_id").agg(F.count("*").alias("kept"))
     return kept
 
 
+@query
+def par3_rejected_blocks(spark, d):
+    """Lines read as blocks: those whose headword is empty."""
+    rejected = P.rejected_blocks(_line_blocks(spark, d))
+    return rejected.where("reject_reason = 'empty_word'").select("doc_id", "block_no", "block")
+
+
 def _line_blocks(spark, d):
     """Every line of the derived texts taken as a block of its own."""
     return lines(spark, d).select(
@@ -393,17 +468,8 @@ def par13_parse_lexicon(spark, d):
 @query
 def par13_parse_lexicon_lines(spark, d):
     """The same by the line route; its block numbers are line numbers."""
-    found = parse_lexicon_lines(lines(spark, d))
-    order = Window.partitionBy("doc_id").orderBy("block_no")
-    return found.select(
-        "doc_id",
-        (F.dense_rank().over(order) - 1).cast("bigint").alias("block_no"),
-        "part_no",
-        "variant_no",
-        "word",
-        "definition",
-        _references(),
-    )
+    found = consecutive_blocks(parse_lexicon_lines(lines(spark, d)))
+    return found.select(*ORDER_COLUMNS, "word", "definition", _references())
 
 
 # --- normalisation and markup ----------------------------------------------
@@ -542,9 +608,10 @@ def sim2_nearest_keys(spark, d):
 
 @query
 def sim2_nearest_keys_blocked(spark, d):
-    """The route for query tables too large to travel with the tasks."""
+    """The route for query tables too large to travel with the tasks, with many
+    blocks on both sides."""
     return S.nearest_keys(
-        part_keys(spark, d), word_keys(spark, d), 10, broadcast_queries=0
+        part_keys(spark, d), word_keys(spark, d), 10, broadcast_queries=0, q_block=16, item_block=4_096
     )
 
 
@@ -553,71 +620,70 @@ _MATCH = ["query_id", "rank", "entry_id", "key", "word", "score"]
 
 @query
 def sim3_find_matches(spark, d):
-    return S.find_matches(user_terms(spark, d), stored_lexicon(spark, d)).select(_MATCH)
+    return S.find_matches(user_terms(spark, d), stored_index(spark, d)).select(_MATCH)
 
 
 @query
 def sim3_find_matches_by_key(spark, d):
     return S.find_matches(
-        user_terms(spark, d), stored_lexicon(spark, d), unit="key"
+        user_terms(spark, d), stored_index(spark, d), unit="key"
     ).select(_MATCH)
 
 
 @query
 def sim4_find_by_word(spark, d):
-    return S.find_by_word(user_terms(spark, d), stored_lexicon(spark, d)).select(_MATCH)
+    return S.find_by_word(user_terms(spark, d), stored_index(spark, d)).select(_MATCH)
 
 
 @query
 def sim4_find_by_word_by_key(spark, d):
     return S.find_by_word(
-        user_terms(spark, d), stored_lexicon(spark, d), unit="key"
+        user_terms(spark, d), stored_index(spark, d), unit="key"
     ).select(_MATCH)
 
 
 @query
 def sim4_find_by_word_nearest(spark, d):
     return S.find_by_word(
-        user_terms(spark, d), stored_lexicon(spark, d), unit="entry"
+        user_terms(spark, d), stored_index(spark, d), unit="entry"
     ).select(_MATCH)
 
 
 @query
 def sim5_find_closest(spark, d):
-    return S.find_closest(user_terms(spark, d), stored_lexicon(spark, d)).select(_MATCH)
+    return S.find_closest(user_terms(spark, d), stored_index(spark, d)).select(_MATCH)
 
 
 @query
 def sim5_find_closest_by_key(spark, d):
     return S.find_closest(
-        user_terms(spark, d), stored_lexicon(spark, d), inclusive=False, unit="key"
+        user_terms(spark, d), stored_index(spark, d), inclusive=False, unit="key"
     ).select(_MATCH)
 
 
 @query
 def sim5_find_closest_nearest(spark, d):
     return S.find_closest(
-        user_terms(spark, d), stored_lexicon(spark, d), unit="entry"
+        user_terms(spark, d), stored_index(spark, d), unit="entry"
     ).select(_MATCH)
 
 
 @query
 def sim6_closest_or_search(spark, d):
-    return S.closest_or_search(user_terms(spark, d), stored_lexicon(spark, d)).select(
+    return S.closest_or_search(user_terms(spark, d), stored_index(spark, d)).select(
         *_MATCH, "route"
     )
 
 
 @query
 def sim7_autocomplete(spark, d):
-    found = S.autocomplete(user_terms(spark, d), stored_lexicon(spark, d))
+    found = S.autocomplete(user_terms(spark, d), stored_index(spark, d))
     return found.select("query_id", F.array_join("suggestions", "|").alias("suggestions"))
 
 
 @query
 def sim8_link_references(spark, d):
-    lex = stored_lexicon(spark, d)
-    return S.link_references(lex, lex)
+    return S.link_references(stored_lexicon(spark, d), stored_index(spark, d))
 
 
 @query
@@ -631,7 +697,7 @@ def sim10_compare_results(spark, d):
     q, keys = term_keys(spark, d), word_keys(spark, d)
     order = Window.partitionBy("q_key").orderBy(F.desc("score"), "key")
     a = S.cosine_postings(q, keys).withColumn("rank", F.row_number().over(order))
-    b = S.nearest_keys(q, keys, keys.count(), SCORE_THRESHOLD)
+    b = S.all_reaching(q, keys, SCORE_THRESHOLD).withColumn("rank", F.row_number().over(order))
     return S.compare_results(a, b, ("q_key", "key"))
 
 
@@ -649,6 +715,42 @@ def sim11_recall(spark, d):
     return E.recall(E.approx_matches(asked, items, 10), E.vector_search(asked, items, 10))
 
 
+@query
+def sim11_graph_matches(spark, d):
+    """Approximate neighbours by walks over stored graphs."""
+    items = table(spark, d, "embeddings")
+    asked = items.select(F.col("vec_id").alias("query_id"), "embedding")
+    return X.graph_search(asked, vector_index(spark, d), 10)
+
+
+@query
+def sim11_graph_recall(spark, d):
+    """Exact neighbours that the graphs are asked for, and whether they find nine
+    in ten."""
+    items = table(spark, d, "embeddings")
+    asked = items.select(F.col("vec_id").alias("query_id"), "embedding")
+    index = vector_index(spark, d)
+    found = E.recall(X.graph_search(asked, index, 10), X.pruned_search(asked, index, 10))
+    return found.select("exact_pairs", (F.col("recall") >= 0.9).alias("enough"))
+
+
+@query
+def sim12_pruned_search(spark, d):
+    """Exact neighbours from stored blocks that bounds can skip."""
+    items = table(spark, d, "embeddings")
+    asked = items.select(F.col("vec_id").alias("query_id"), "embedding")
+    return X.pruned_search(asked, vector_index(spark, d), 10)
+
+
+@query
+def sim12_pruned_search_by_label(spark, d):
+    items = table(spark, d, "embeddings")
+    asked = items.select(F.col("vec_id").alias("query_id"), "embedding")
+    groups = items.select("vec_id", F.col("label").alias("g"))
+    found = X.pruned_search(asked, vector_index(spark, d), 5, groups)
+    return found.withColumnRenamed("g", "label")
+
+
 @query
 def sim12_vector_search(spark, d):
     items = table(spark, d, "embeddings")
@@ -698,6 +800,14 @@ def ana4_leftover_brackets(spark, d):
     return A.leftover_brackets(found).select("doc_id", "line_no")
 
 
+@query
+def ana4_leftover_brackets_of_tags(spark, d):
+    """Pieces of page markup, as words in square brackets, that are unbalanced."""
+    pieces = F.explode(F.split(F.translate("html", "<>", "[]"), " ", -1))
+    found = table(spark, d, "pages").select("page_id", pieces.alias("word"))
+    return A.leftover_brackets(found).groupBy("page_id", "word").agg(F.count("*").alias("n"))
+
+
 @query
 def ana5_character_inventory(spark, d):
     return A.character_inventory(entries(spark, d))
@@ -718,13 +828,13 @@ def ana7_vector_alphabet(spark, d):
 
 @query
 def ana8_readiness_check(spark, d):
-    return A.readiness_check(stored_lexicon(spark, d), min_keys=1_000)
+    return A.readiness_check(stored_index(spark, d), min_keys=1_000)
 
 
 @query
 def ana9_search_report(spark, d):
     terms = spark.createDataFrame([(t, t) for t in REPORT_TERMS], "query_id string, term string")
-    return A.search_report(S.query_keys(terms), stored_lexicon(spark, d)).select(
+    return A.search_report(S.query_keys(terms), stored_index(spark, d)).select(
         "query_id", "section", "rank", "key", "word", "definition", "score"
     )
 
@@ -774,9 +884,8 @@ def _stream(spark, d, name):
 def stm1_stream_lookup(spark, d):
     terms = _user_words(_stream(spark, d, "conversations"))
     path = scratch_path(spark, "answers")
-    J.stream_lookup(
-        terms, stored_lexicon(spark, d), path, scratch_path(spark, "checkpoint")
-    ).awaitTermination()
+    pointer = I.publish_index(stored_lexicon(spark, d), scratch_path(spark, "indexes"), "lexicon")
+    J.stream_lookup(terms, pointer, path, scratch_path(spark, "checkpoint")).awaitTermination()
     return spark.read.parquet(path).select(*_MATCH, "route")
 
 
@@ -790,6 +899,19 @@ def stm2_stream_ingest(spark, d):
     )
 
 
+@query
+def stm2_stream_merge(spark, d):
+    """Every text arrives twice, the first time cut short: the table has the
+    entries of the second."""
+    path = scratch_path(spark, "merged")
+    whole = lexicon_texts(_stream(spark, d, "documents"))
+    short = whole.withColumn("text", F.substr("text", F.lit(1), F.floor(F.length("text") / 2).cast("int")))
+    for name, arriving in (("first", short), ("second", whole)):
+        N.stream_merge(arriving, path, scratch_path(spark, "checkpoint"), stream=name).awaitTermination()
+    N.compact(spark, path)
+    return N.read_entries(spark, path).select(*ORDER_COLUMNS, "word", "definition", _references())
+
+
 @query
 def stm3_quota_report(spark, d):
     return J.quota_report(table(spark, d, "events"), "1 day", 5)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from glossweave import constants as K
 from glossweave.functions.text import printable_normalised, vector_key
-from glossweave.operators.search import find_closest, find_matches
+from glossweave.operators.search import as_index, find_closest, find_matches
+from glossweave.operators.search_index import SearchIndex
 
 
 def entry_count(entries: DataFrame) -> DataFrame:
@@ -76,37 +77,33 @@ def decomposed_words(entries: DataFrame) -> DataFrame:
 
 
 def readiness_check(
-    lexicon: DataFrame,
+    lexicon: DataFrame | SearchIndex,
     min_keys: int = K.READY_KEY_GROUPS,
     probes=K.READY_PROBES,
     **kw,
 ) -> DataFrame:
     """One row: key groups, probes with a closest match, and `ready`."""
-    spark = lexicon.sparkSession
-    asked = spark.createDataFrame(
+    index = as_index(lexicon)
+    asked = index.spark.createDataFrame(
         [(i, p) for i, p in enumerate(probes)], "query_id int, q_key string"
     )
-    hits = find_closest(asked, lexicon, **kw).agg(
+    hits = find_closest(asked, index, **kw).agg(
         F.count_distinct("query_id").alias("probes_found")
     )
-    keys = (
-        lexicon.select("key")
-        .where(F.col("key") != "")
-        .distinct()
-        .agg(F.count("*").alias("key_groups"))
-    )
+    keys = index.entries.where("key_rank = 1").agg(F.count("*").alias("key_groups"))
     ready = (F.col("key_groups") > min_keys) & (
         F.col("probes_found") == len(tuple(probes))
     )
     return keys.crossJoin(hits).withColumn("ready", ready)
 
 
-def search_report(queries: DataFrame, lexicon: DataFrame, k: int = K.TOP_K) -> DataFrame:
+def search_report(queries: DataFrame, lexicon: DataFrame | SearchIndex, k: int = K.TOP_K) -> DataFrame:
     """(query_id, section, rank, key, word, definition, score): the top k
     entries of each term and its best match, or one 'none' row."""
     fields = ["query_id", "rank", "key", "word", "definition", "score"]
-    top = find_matches(queries, lexicon, k).select(*fields, F.lit("top").alias("section"))
-    best = find_closest(queries, lexicon).select(*fields, F.lit("best").alias("section"))
+    index = as_index(lexicon)
+    top = find_matches(queries, index, k).select(*fields, F.lit("top").alias("section"))
+    best = find_closest(queries, index).select(*fields, F.lit("best").alias("section"))
     none = (
         queries.select("query_id")
         .join(best.select("query_id").distinct(), "query_id", "left_anti")

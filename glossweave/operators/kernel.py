@@ -57,17 +57,11 @@ def rounded(cosine: np.ndarray) -> np.ndarray:
     return np.floor(cosine * 1e6 + 0.5) / 1e6
 
 
-def pair_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Score of each row of `a` with the same row of `b`."""
-    a, b = exact(a), exact(b)
-    dots = np.einsum("ij,ij->i", a, b).astype(np.float64)
-    return rounded(dots / np.sqrt(unit_free_norm2(a) * unit_free_norm2(b)))
-
-
 class QueryBlock:
-    """A block of query vectors with the best score floor seen so far."""
+    """A block of query vectors with the best score floor seen so far; `k` None
+    keeps all that reach the threshold."""
 
-    def __init__(self, matrix: np.ndarray, k: int, threshold=None, inclusive=True):
+    def __init__(self, matrix: np.ndarray, k: int | None, threshold=None, inclusive=True):
         matrix = exact(matrix)
         self.matrix = np.ascontiguousarray(matrix.T)
         self.norm2 = unit_free_norm2(matrix)
@@ -102,6 +96,9 @@ class QueryBlock:
         out only below k others."""
         cosine = self.scores(items)
         n, k = cosine.shape[0], self.k
+        if k is None:
+            at, query = np.nonzero(cosine > -np.inf)
+            return query, at, cosine[at, query]
         if n > k:
             kth = np.partition(cosine, n - k, axis=0)[n - k]
             self.floor = np.maximum(self.floor, kth)

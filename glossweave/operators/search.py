@@ -2,12 +2,16 @@
 
 Every function scores distinct query keys against distinct lexicon keys and
 joins the few winners back to queries and entries, so repeated terms and
-repeated keys cost nothing. Two ways of scoring give the same rows:
+repeated keys cost nothing. Searches read a stored index (`search_index`); a
+lexicon table that is given in its place is indexed first. Scores come from
 
-* few queries (a checked bound): their vectors travel with the tasks and each
-  task reduces its share of the keys to the best k per query;
-* many queries: both sides are cut by hash into blocks of bounded size, every
-  pair of blocks meets in one task, and again only the best k per query leave it.
+* postings with score bounds, for everything that searches a lexicon;
+* the blocked product of whole vectors (`nearest_keys`), which needs no index.
+
+Both give the same rows, and both have two routes: few queries (a checked bound)
+travel with the tasks, each of which reduces its share of the keys to the best k
+per query; many are cut into blocks, every pair of blocks meets in one task, and
+again only the best k per query leave it.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossweave import constants as K
-from glossweave.functions.grams import char_grams, gram_counts, signature
+from glossweave.functions.grams import signature
 from glossweave.functions.text import (
     html_brackets,
     italic_toggle,
@@ -27,13 +31,12 @@ from glossweave.functions.text import (
     printable_normalised,
     vector_key,
 )
-from glossweave.operators.kernel import QueryBlock, gram_matrix, pair_scores
-from glossweave.session import cut_lineage, spread
+from glossweave.operators.kernel import QueryBlock, gram_matrix
+from glossweave.operators.search_index import SearchIndex, key_blocks, search_blocks, vector_blocks, write_index
+from glossweave.session import cut_lineage, scratch_path, spread
 
 BROADCAST_QUERIES = 8_192
 QUERY_BLOCK = 4_096
-# Parts of a frequent gram's list in the inverted index.
-GRAM_PARTS = 8
 ITEM_BLOCK = 65_536
 # Up to this key length (squared norm <= 929) only an equal vector rounds to a
 # cosine of 1: markers force the other vector to nearly the same length, and two
@@ -118,9 +121,10 @@ def _score_many(
         ]
         if not parts:
             return pd.DataFrame({"q_key": [], "key": [], "score": []})
-        found = pd.concat(parts).sort_values(
-            ["q_key", "score", "key"], ascending=[True, False, True]
-        )
+        found = pd.concat(parts)
+        if k is None:
+            return found
+        found = found.sort_values(["q_key", "score", "key"], ascending=[True, False, True])
         return found.groupby("q_key", sort=False).head(k)
 
     return (
@@ -144,121 +148,49 @@ def nearest_keys(
 
     `q_keys` (q_key) and `keys` (key) hold distinct non-empty keys.
     """
+    return _top(_score(q_keys, keys, k, threshold, inclusive, broadcast_queries, q_block, item_block), k)
+
+
+def _score(
+    q_keys, keys, k, threshold, inclusive, broadcast_queries=BROADCAST_QUERIES, q_block=QUERY_BLOCK, item_block=ITEM_BLOCK
+) -> DataFrame:
     first = [r.q_key for r in q_keys.limit(broadcast_queries + 1).collect()]
     if len(first) <= broadcast_queries:
-        scored = _score_few(first, keys, k, threshold, inclusive)
-    else:
-        scored = _score_many(
-            q_keys, keys, k, threshold, inclusive, q_block, item_block
-        )
-    return _top(scored, k)
+        return _score_few(first, keys, k, threshold, inclusive)
+    return _score_many(q_keys, keys, k, threshold, inclusive, q_block, item_block)
+
+
+def all_reaching(q_keys: DataFrame, keys: DataFrame, threshold: float = K.SCORE_THRESHOLD, **kw) -> DataFrame:
+    """(q_key, key, score) of all pairs scoring at least `threshold`, by the
+    blocked product: what `cosine_postings` is compared with. No bound on a
+    query's keys is needed, since none is ranked here."""
+    return _score(q_keys, keys, None, threshold, True, **kw)
 
 
 def cosine_postings(
-    q_keys: DataFrame, keys: DataFrame, threshold: float = K.SCORE_THRESHOLD
+    q_keys: DataFrame, keys: DataFrame, threshold: float = K.SCORE_THRESHOLD, **kw
 ) -> DataFrame:
-    """(q_key, key, score) of all pairs scoring at least `threshold`, by an
-    inverted index.
-
-    Only a prefix of each vector is indexed: grams in one fixed order, rare
-    ones first, until the rest is too short to reach the threshold alone. Two
-    vectors whose prefixes share no gram cannot score that high, so the join
-    misses nothing; a pair is taken at its first shared gram only, so it is
-    scored once. A frequent gram is late in the order and seldom in a prefix.
-    """
-    both = q_keys.select(F.col("q_key").alias("key")).unionByName(keys.select("key"))
-    # bounded by the alphabet: at most 29 + 29 * 29 grams
-    order = (
-        both.select(F.explode(F.array_distinct(char_grams(F.col("key")))).alias("gram"))
-        .groupBy("gram")
-        .agg(F.count("*").alias("n"))
-        .agg(F.map_from_entries(F.collect_list(F.struct("gram", "n"))).alias("n_of"))
-    )
+    """(q_key, key, score) of all pairs scoring at least `threshold`, by postings
+    of bigrams with score bounds: a pair that cannot reach the threshold never
+    becomes a row. `keys` is cut into blocks by hash, each indexed in its task."""
+    return search_blocks(q_keys, key_blocks(keys), None, threshold, **kw)
 
-    def indexed(df: DataFrame, name: str) -> DataFrame:
-        rare_first = F.array_sort(
-            F.transform(
-                gram_counts(F.col(name)),
-                lambda g: F.struct(
-                    F.element_at("n_of", g["gram"]).alias("n"),
-                    g["gram"].alias("gram"),
-                    g["tf"].alias("tf"),
-                ),
-            )
-        )
-        counted = spread(df.select(name), name).crossJoin(F.broadcast(order)).select(
-            name, rare_first.alias("grams")
-        )
-        norm2 = F.aggregate("grams", F.lit(0), lambda s, g: s + g["tf"] * g["tf"])
-        counted = counted.withColumn("norm2", norm2)
-        # a gram is indexed while the vector from it on could reach the
-        # threshold; a hair below it, since scores are rounded. The bound rides
-        # in the fold's state, so that no step computes it again.
-        share = max(threshold - 1e-6, 0.0) ** 2
-        prefix = F.aggregate(
-            "grams",
-            F.struct(
-                F.col("norm2").alias("rest"),
-                (F.col("norm2") * share).alias("least"),
-                F.array().cast("array<string>").alias("p"),
-            ),
-            lambda acc, g: F.struct(
-                (acc["rest"] - g["tf"] * g["tf"]).alias("rest"),
-                acc["least"].alias("least"),
-                F.when(
-                    acc["rest"] >= acc["least"],
-                    F.concat(acc["p"], F.array(g["gram"])),
-                )
-                .otherwise(acc["p"])
-                .alias("p"),
-            ),
-            lambda acc: acc["p"],
-        )
-        # outer: a plain explode would add a filter that computes the prefix
-        # again; no key has an empty one
-        return counted.select(name, prefix.alias(f"{name}_prefix")).select(
-            name, f"{name}_prefix", F.explode_outer(f"{name}_prefix").alias("gram")
-        )
 
-    # coalesce: no not-null filter on the prefixes, which would compute them again
-    first_shared = F.coalesce(
-        F.get(F.array_intersect("q_key_prefix", "key_prefix"), F.lit(0)), F.lit("")
-    )
-    # a hot gram's keys lie in several parts, its queries go to each
-    pairs = (
-        indexed(keys, "key")
-        .withColumn("part", F.pmod(F.xxhash64("key"), F.lit(GRAM_PARTS)))
-        .join(
-            indexed(q_keys, "q_key").withColumn(
-                "part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(GRAM_PARTS - 1).cast("long")))
-            ),
-            ["gram", "part"],
-        )
-        .where(first_shared == F.col("gram"))
-        .select("q_key", "key")
-    )
+def nearest_indexed(
+    q_keys: DataFrame, blocks: DataFrame, k: int = K.TOP_K, threshold: float | None = None, inclusive: bool = True, **kw
+) -> DataFrame:
+    """(q_key, key, score, rank), as `nearest_keys`, from blocks of an index."""
+    return _top(search_blocks(q_keys, blocks, k, threshold, inclusive, **kw), k)
 
-    def score(batches):
-        for batch in batches:
-            # a key stands in many pairs of a batch: its grams are counted once
-            q, items = (batch.column(c).dictionary_encode() for c in ("q_key", "key"))
-            if not batch.num_rows:
-                continue
-            left, right = (gram_matrix(c.dictionary.to_pylist()) for c in (q, items))
-            for at in range(0, batch.num_rows, 2048):
-                a, b = q.slice(at, 2048), items.slice(at, 2048)
-                value = pair_scores(left[a.indices.to_numpy()], right[b.indices.to_numpy()])
-                a, b = a.dictionary_decode(), b.dictionary_decode()
-                keep = pa.array(value >= threshold)
-                yield pa.RecordBatch.from_arrays(
-                    [a.filter(keep), b.filter(keep), pa.array(value).filter(keep)],
-                    names=["q_key", "key", "score"],
-                )
 
-    return pairs.mapInArrow(score, KEY_SCORES)
+# --- queries against a lexicon ---------------------------------------------
 
 
-# --- queries against a lexicon ---------------------------------------------
+def as_index(lexicon: DataFrame | SearchIndex) -> SearchIndex:
+    """The index itself, or that of a lexicon table, written to scratch."""
+    if isinstance(lexicon, SearchIndex):
+        return lexicon
+    return write_index(lexicon, scratch_path(lexicon.sparkSession, "search-index"))
 
 
 def _distinct(df: DataFrame, column: str, name: str) -> DataFrame:
@@ -281,34 +213,35 @@ def _with_queries(queries: DataFrame, found: DataFrame) -> DataFrame:
 ENTRY_FIELDS = ["entry_id", "key", "word", "definition"]
 
 
+def _entries_of(best: DataFrame, index: SearchIndex, k: int, unit: str) -> DataFrame:
+    """Entries of the best keys (q_key, key, score, rank), ranked per query."""
+    entries = index.entries
+    if unit == "entry":
+        # k entries of one key are enough, however many share it
+        entries = entries.where(F.col("key_rank") <= k)
+    found = best.withColumnRenamed("rank", "group_rank").join(entries.select(ENTRY_FIELDS), "key")
+    if unit == "entry":
+        return _ranked(found, ["q_key"], ["group_rank", "entry_id"], "rank", k).drop("group_rank")
+    return found.withColumnRenamed("group_rank", "rank")
+
+
 def find_matches(
-    queries: DataFrame, lexicon: DataFrame, k: int = K.TOP_K, unit: str = "entry", **kw
+    queries: DataFrame, lexicon: DataFrame | SearchIndex, k: int = K.TOP_K, unit: str = "entry", **kw
 ) -> DataFrame:
     """Top-k search without a threshold. `unit='entry'` returns the k best
     entries, `unit='key'` all entries of the k best key groups.
 
-    queries (query_id, q_key); lexicon (entry_id, key, word, definition, …).
+    queries (query_id, q_key); lexicon: an index, or a table (entry_id, key,
+    word, definition, …).
     """
-    best = nearest_keys(
-        _distinct(queries, "q_key", "q_key"), _distinct(lexicon, "key", "key"), k, **kw
-    )
-    entries = lexicon.select(ENTRY_FIELDS).where(F.col("key") != "")
-    if unit == "entry":
-        # k entries of one key are enough, however many share it
-        entries = _ranked(entries, ["key"], ["entry_id"], "_n", k).drop("_n")
-    found = best.withColumnRenamed("rank", "group_rank").join(entries, "key")
-    if unit == "entry":
-        found = _ranked(
-            found, ["q_key"], ["group_rank", "entry_id"], "rank", k
-        ).drop("group_rank")
-    else:
-        found = found.withColumnRenamed("group_rank", "rank")
-    return _with_queries(queries, found)
+    index = as_index(lexicon)
+    best = nearest_indexed(_distinct(queries, "q_key", "q_key"), index.blocks, k, **kw)
+    return _with_queries(queries, _entries_of(best, index, k, unit))
 
 
 def find_by_word(
     queries: DataFrame,
-    lexicon: DataFrame,
+    lexicon: DataFrame | SearchIndex,
     k: int = K.TOP_K,
     unit: str = "word",
     nearest: int = K.MAX_HITS,
@@ -317,73 +250,73 @@ def find_by_word(
     """One entry per group for the best groups. `unit='word'`: the k best words,
     first entry of each; `unit='key'`: the k best keys, first entry of each;
     `unit='entry'`: the first entry per word among the `nearest` entries."""
+    index = as_index(lexicon)
     if unit == "entry":
-        near = find_matches(queries, lexicon, nearest, "entry", **kw)
+        near = find_matches(queries, index, nearest, "entry", **kw)
         first = _ranked(near, ["query_id", "word"], ["rank"], "_n", 1).drop("_n")
         order = Window.partitionBy("query_id").orderBy("rank")
         return first.withColumn("rank", F.row_number().over(order))
-    best = nearest_keys(
-        _distinct(queries, "q_key", "q_key"), _distinct(lexicon, "key", "key"), k, **kw
-    )
-    group = ["key", "word"] if unit == "word" else ["key"]
-    first = (
-        lexicon.select(ENTRY_FIELDS)
-        .where(F.col("key") != "")
-        .groupBy(*group)
-        .agg(F.min(F.struct("entry_id", "word", "definition")).alias("e"))
-        .select("key", "e.*")
-    )
+    best = nearest_indexed(_distinct(queries, "q_key", "q_key"), index.blocks, k, **kw)
+    first = index.entries.where(F.col("word_rank" if unit == "word" else "key_rank") == 1).select(ENTRY_FIELDS)
     if unit == "word":
         first = _ranked(first, ["key"], ["word"], "_n", k).drop("_n")
     found = best.withColumnRenamed("rank", "group_rank").join(first, "key")
-    found = _ranked(found, ["q_key"], ["group_rank", "word"], "rank", k).drop(
-        "group_rank"
-    )
+    found = _ranked(found, ["q_key"], ["group_rank", "word"], "rank", k).drop("group_rank")
     return _with_queries(queries, found)
 
 
+def _equal_vectors(
+    q_keys: DataFrame, signatures: DataFrame, threshold: float, inclusive: bool
+) -> tuple[DataFrame, DataFrame]:
+    """Queries whose vector is that of a key (q_key, key, score), and the
+    others (q_key)."""
+    signed = q_keys.select(
+        "q_key",
+        signature(F.col("q_key")).alias("sig"),
+        (F.length("q_key") <= EXACT_KEY_LENGTH).alias("short"),
+    )
+    joined = signed.join(signatures, "sig", "left").withColumn("same", F.col("short") & F.col("key").isNotNull())
+    allowed = F.lit(1.0) >= threshold if inclusive else F.lit(1.0) > threshold
+    same = joined.where(F.col("same") & allowed).select("q_key", "key", F.lit(1.0).alias("score"))
+    return same, joined.where(~F.col("same")).select("q_key")
+
+
 def closest_keys(
     q_keys: DataFrame,
-    keys: DataFrame,
+    keys: DataFrame | SearchIndex,
     threshold: float = K.SCORE_THRESHOLD,
     inclusive: bool = True,
     **kw,
 ) -> DataFrame:
     """(q_key, key, score): the single best lexicon key at or above (or strictly
-    above) the threshold.
+    above) the threshold. `keys`: an index, or a table of distinct keys (key).
 
     A query whose vector equals a lexicon vector is answered by an equi-join on
-    the vector's signature; only the others are scored against the lexicon. At
-    the usual threshold the inverted index meets a good part of all pairs, and a
-    pair of it costs far more than one in the blocked product.
+    the vector's signature; only the others are scored.
     """
-    signed = q_keys.select(
-        "q_key",
-        signature(F.col("q_key")).alias("sig"),
-        (F.length("q_key") <= EXACT_KEY_LENGTH).alias("short"),
-    )
-    by_signature = (
-        keys.select("key", signature(F.col("key")).alias("sig"))
-        .groupBy("sig")
-        .agg(F.min("key").alias("key"))
-    )
-    joined = signed.join(by_signature, "sig", "left").withColumn(
-        "same", F.col("short") & F.col("key").isNotNull()
-    )
-    allowed = F.lit(1.0) >= threshold if inclusive else F.lit(1.0) > threshold
-    same = joined.where(F.col("same") & allowed).select(
-        "q_key", "key", F.lit(1.0).alias("score")
-    )
-    rest = joined.where(~F.col("same")).select("q_key")
-    scored = nearest_keys(rest, keys, 1, threshold, inclusive, **kw).select(
-        "q_key", "key", "score"
-    )
-    return same.unionByName(scored)
+    if isinstance(keys, SearchIndex):
+        signatures, blocks = keys.signatures, keys.blocks
+    else:
+        signatures = keys.groupBy(signature(F.col("key")).alias("sig")).agg(F.min("key").alias("key"))
+        blocks = key_blocks(keys)
+    same, rest = _equal_vectors(q_keys, signatures, threshold, inclusive)
+    scored = nearest_indexed(rest, blocks, 1, threshold, inclusive, **kw)
+    return same.unionByName(scored.select("q_key", "key", "score"))
+
+
+def _closest_entries(best: DataFrame, index: SearchIndex, unit: str, max_hits: int) -> DataFrame:
+    """Entries of the single best key (q_key, key, score) of each query."""
+    entries = index.entries
+    if unit == "word":
+        wanted = entries.where(F.col("first_word") & (F.col("word_rank") <= max_hits)).withColumnRenamed("word_rank", "rank")
+    else:
+        wanted = entries.withColumnRenamed("key_rank", "rank")
+    return best.join(wanted.select(*ENTRY_FIELDS, F.col("rank").cast("int").alias("rank")), "key")
 
 
 def find_closest(
     queries: DataFrame,
-    lexicon: DataFrame,
+    lexicon: DataFrame | SearchIndex,
     threshold: float = K.SCORE_THRESHOLD,
     inclusive: bool = True,
     unit: str = "word",
@@ -396,54 +329,60 @@ def find_closest(
     `unit='key'`: all entries of the best key; `unit='entry'`: the entries of
     the best word among the `max_hits` nearest ones.
     """
+    index = as_index(lexicon)
     if unit == "entry":
         near = find_matches(
-            queries, lexicon, max_hits, "entry", threshold=threshold,
+            queries, index, max_hits, "entry", threshold=threshold,
             inclusive=inclusive, **kw,
         )
         first = Window.partitionBy("query_id").orderBy("rank")
         return near.withColumn("_w", F.first("word").over(first)).where(
             F.col("word") == F.col("_w")
         ).drop("_w")
-    best = closest_keys(
-        _distinct(queries, "q_key", "q_key"),
-        _distinct(lexicon, "key", "key"),
-        threshold,
-        inclusive,
-        **kw,
-    )
-    entries = lexicon.select(ENTRY_FIELDS).where(F.col("key") != "")
-    if unit == "word":
-        first_word = entries.groupBy("key").agg(F.min("word").alias("word"))
-        best = best.join(first_word, "key")
-        entries = _ranked(entries, ["key", "word"], ["entry_id"], "rank", max_hits)
-        found = best.join(entries, ["key", "word"])
-    else:
-        order = Window.partitionBy("q_key").orderBy("entry_id")
-        found = best.join(entries, "key").withColumn("rank", F.row_number().over(order))
-    return _with_queries(queries, found)
+    best = closest_keys(_distinct(queries, "q_key", "q_key"), index, threshold, inclusive, **kw)
+    return _with_queries(queries, _closest_entries(best, index, unit, max_hits))
 
 
 def closest_or_search(
-    queries: DataFrame, lexicon: DataFrame, k: int = K.TOP_K, **kw
+    queries: DataFrame,
+    lexicon: DataFrame | SearchIndex,
+    k: int = K.TOP_K,
+    threshold: float = K.SCORE_THRESHOLD,
+    inclusive: bool = True,
+    unit: str = "word",
+    max_hits: int = K.MAX_HITS,
+    **kw,
 ) -> DataFrame:
     """The closest match of each query where there is one (`route='exact'`),
-    else its top-k search (`route='search'`)."""
+    else its top-k search (`route='search'`). One scoring pass serves both: the
+    best key of a search is the closest one, if it scores high enough."""
+    index = as_index(lexicon)
+    same, rest = _equal_vectors(_distinct(queries, "q_key", "q_key"), index.signatures, threshold, inclusive)
     # read twice below, computed once
-    closest = cut_lineage(find_closest(queries, lexicon, **kw))
-    left_over = queries.join(
-        closest.select("query_id").distinct(), "query_id", "left_anti"
-    )
-    search = find_matches(left_over, lexicon, k)
-    fields = ["query_id", "rank", "score", *ENTRY_FIELDS]
-    return (
+    best = cut_lineage(nearest_indexed(rest, index.blocks, k, **kw))
+    enough = F.col("score") >= threshold if inclusive else F.col("score") > threshold
+    close = best.where((F.col("rank") == 1) & enough)
+    closest = _closest_entries(same.unionByName(close.select("q_key", "key", "score")), index, unit, max_hits)
+    search = _entries_of(best.join(close.select("q_key"), "q_key", "left_anti"), index, k, "entry")
+    fields = ["q_key", "rank", "score", *ENTRY_FIELDS]
+    found = (
         closest.select(*fields)
         .withColumn("route", F.lit("exact"))
         .unionByName(search.select(*fields).withColumn("route", F.lit("search")))
     )
+    return _with_queries(queries, found).drop("q_key")
+
+
+def search_groups(queries: DataFrame, groups: DataFrame, k: int = K.TOP_K, **kw) -> DataFrame:
+    """The documents of the k best key groups of each query, with score and rank.
+    Scores come from the vectors that the documents carry (`store.key_groups`)."""
+    documents = groups.where(F.col("key") != "")
+    blocks = vector_blocks(documents.where("part = 0").select("key", "vector"))
+    best = nearest_indexed(_distinct(queries, "q_key", "q_key"), blocks, k, **kw)
+    return _with_queries(queries, best.join(documents, "key"))
 
 
-def autocomplete(queries: DataFrame, lexicon: DataFrame, k: int = K.TOP_K) -> DataFrame:
+def autocomplete(queries: DataFrame, lexicon: DataFrame | SearchIndex, k: int = K.TOP_K) -> DataFrame:
     """(query_id, suggestions): printable words of the best groups, best first,
     repeats kept."""
     found = find_by_word(queries, lexicon, k)
@@ -455,7 +394,7 @@ def autocomplete(queries: DataFrame, lexicon: DataFrame, k: int = K.TOP_K) -> Da
     )
 
 
-def link_references(entries: DataFrame, lexicon: DataFrame, **kw) -> DataFrame:
+def link_references(entries: DataFrame, lexicon: DataFrame | SearchIndex, **kw) -> DataFrame:
     """One row per referenced word of each entry: where its link leads.
 
     entries (entry_id, referenced_words). Distinct reference keys are looked up

@@ -7,9 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from glossweave.functions.grams import gram_counts
 from glossweave.functions.text import printable_normalised
+from glossweave.operators import versions
 from glossweave.operators.vectors import fit_vocabulary
 from glossweave.session import cut_lineage
+from glossweave.sources.lines import FILE_ROWS
 
 ROW_MASK = (1 << 33) - 1
 GROUP_ENTRIES = 10_000
@@ -41,17 +44,27 @@ def with_entry_ids(df: DataFrame, order: list[str], name: str = "entry_id") -> D
 
 
 def write_lexicon(entries: DataFrame, path: str, order: list[str]) -> None:
-    """Entries with ids 1..n in source order, as Parquet."""
-    with_entry_ids(entries, order).select(
-        "entry_id", "word", "definition", "referenced_words", "key"
-    ).write.mode("errorifexists").parquet(path)
+    """Entries in source order, as Parquet, written once. An entry's id, 1..n, is
+    its row in its file after the rows of the files before (`read_lexicon`): the
+    files are in order, and a task that runs again writes the same rows. Beside
+    them is a table of one row per file, from the files' own counts."""
+    spark = entries.sparkSession
+    entries.orderBy(*order).select("word", "definition", "referenced_words", "key").write.mode("errorifexists").parquet(path)
+    files = spark.read.parquet(path).groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count("*").alias("n"))
+    part = F.regexp_extract("file", r"^part-(\d+)", 1).cast("long")
+    # one row per sort task: bounded by the number of partitions
+    before = Window.orderBy(part, "file").rowsBetween(Window.unboundedPreceding, -1)
+    files.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")).coalesce(1).write.parquet(
+        f"{path}/{FILE_ROWS}"
+    )
 
 
 def key_groups(lexicon: DataFrame, max_entries: int = GROUP_ENTRIES) -> DataFrame:
-    """(key, part, partition_key, n_entries, word_definitions): the entries of
-    each key nested in documents of `max_entries` entries, in entry order; entry
-    r of a key is in part r / max_entries, however many there are. All parts of
-    a key have the first letter of its first entry as partition key.
+    """(key, part, partition_key, n_entries, word_definitions, vector): the entries
+    of each key nested in documents of `max_entries` entries, in entry order;
+    entry r of a key is in part r / max_entries, however many there are. All parts
+    of a key have the first letter of its first entry as partition key, and the
+    key's sparse vector (gram, tf).
 
     An entry's rank is counted inside a stretch of ids, after the sums of the
     key's stretches before, so no task holds a hot key whole.
@@ -84,6 +97,7 @@ def key_groups(lexicon: DataFrame, max_entries: int = GROUP_ENTRIES) -> DataFram
             "partition_key",
             F.size("word_definitions").alias("n_entries"),
             "word_definitions",
+            gram_counts(F.col("key")).alias("vector"),
         )
     )
 
@@ -200,11 +214,13 @@ def needs_rebuild(current: DataFrame, target: DataFrame) -> DataFrame:
     )
 
 
-def publish_version(lexicon: DataFrame, base: str, name: str) -> str:
+def publish_version(lexicon: DataFrame, base: str, name: str, keep: int = 1) -> str:
     """Write the lexicon to a folder of its own (named by vector size, key count
-    and a run id), check the written count, then add it to the stored pointer,
-    point the view `name` at it and drop the version before. Returns the folder.
-    A failed or short write raises and leaves the old version in place."""
+    and a run id), check the written count, then commit it as the next version
+    and point the view `name` at it. Returns the folder. A failed or short write
+    raises and leaves the old version in place; of two publishers at once both
+    get a version, one after the other. A version stays readable until `keep`
+    newer ones exist: with 2, readers of the version before can finish."""
     spark = lexicon.sparkSession
     stats = lexicon_stats(lexicon).first()
     size = f"{stats.vector_size}_{stats.number_of_vectors}"
@@ -213,37 +229,14 @@ def publish_version(lexicon: DataFrame, base: str, name: str) -> str:
     written = spark.read.parquet(path)
     if written.count() != stats.entries:
         raise RuntimeError(f"published table at {path} is incomplete")
-    before = current_version(spark, base, name)
-    row = [((before[0] if before else 0) + 1, path)]
-    spark.createDataFrame(row, "version long, path string").coalesce(1).write.mode(
-        "append"
-    ).parquet(_pointer(base, name))
+    versions.commit(spark, base, name, path, keep)
     written.createOrReplaceTempView(name)
-    if before:
-        _drop(spark, before[1])
     return path
 
 
-def _pointer(base: str, name: str) -> str:
-    return f"{base.rstrip('/')}/{name}.versions"
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-
-
-def _drop(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def current_version(spark: SparkSession, base: str, name: str) -> tuple[int, str] | None:
     """(number, folder) of the version that readers of any session use."""
-    if not _exists(spark, _pointer(base, name)):
-        return None
-    found = spark.read.parquet(_pointer(base, name)).orderBy(F.desc("version")).first()
-    return (found.version, found.path) if found else None
+    return versions.current(spark, base, name)
 
 
 def published(spark: SparkSession, base: str, name: str) -> DataFrame:

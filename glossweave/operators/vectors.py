@@ -46,9 +46,13 @@ def fit_vocabulary(keys: DataFrame, markers: bool = True) -> DataFrame:
 
 def model_card(keys: DataFrame) -> DataFrame:
     """One row: number_of_vectors (distinct keys) and vector_size (grams)."""
-    distinct = keys.select("key").distinct()
-    return distinct.agg(F.count("*").alias("number_of_vectors")).crossJoin(
-        fit_vocabulary(distinct).agg(F.count("*").alias("vector_size"))
+    # one row more for each key, under a name that no gram has
+    grams = F.explode(F.concat(F.array(F.lit("")), F.array_distinct(char_grams(F.col("key")))))
+    counted = keys.select("key").distinct().select(grams.alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    own = F.col("gram") == ""
+    return counted.agg(
+        F.coalesce(F.sum(F.when(own, F.col("n"))), F.lit(0)).alias("number_of_vectors"),
+        F.count(F.when(~own, 1)).alias("vector_size"),
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossweave.functions import entries as E
@@ -107,5 +107,22 @@ def parse_lexicon_lines(lines: DataFrame, chunk: int = CHUNK_LINES) -> DataFrame
     return _entry_table(P.resolve_idem(entries, chunk), P.parse_groups(blocks))
 
 
+def consecutive_blocks(entries: DataFrame, chunk: int = CHUNK_LINES) -> DataFrame:
+    """`entries` with the blocks of each document numbered 0, 1, 2, … in place of
+    their line numbers: ranks inside bounded chunks of lines, after the counts of
+    the chunks before."""
+    staged = entries.withColumn("_chunk", F.floor(F.col("block_no") / chunk))
+    counts = staged.groupBy("doc_id", "_chunk").agg(F.count_distinct("block_no").alias("_n"))
+    before = Window.partitionBy("doc_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select("doc_id", "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    inside = F.dense_rank().over(Window.partitionBy("doc_id", "_chunk").orderBy("block_no"))
+    return (
+        staged.withColumn("_in", inside)
+        .join(bases, ["doc_id", "_chunk"])
+        .withColumn("block_no", F.col("_base") + F.col("_in") - 1)
+        .select(entries.columns)
+    )
+
+
 def with_key(entries: DataFrame) -> DataFrame:
     return entries.withColumn("key", vector_key(F.col("word")))

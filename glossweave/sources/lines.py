@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 LINE_BREAK = r"\r\n|\r|\n"
+#: Folder, hidden from plain reads, with the rows before each file of a lexicon.
+FILE_ROWS = "_file_rows"
 BOM = "﻿"
 
 LEXICON_SCHEMA = T.StructType(
@@ -75,5 +77,13 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
-    """Stored entries with the explicit lexicon schema."""
-    return spark.read.schema(LEXICON_SCHEMA).parquet(path)
+    """Stored entries with the explicit lexicon schema. Ids are the rows' places:
+    the rows of the files before, and the row in the file."""
+    stored = T.StructType([f for f in LEXICON_SCHEMA if f.name != "entry_id"])
+    rows = spark.read.schema(stored).parquet(path).select(
+        "*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row")
+    )
+    files = spark.read.parquet(f"{path}/{FILE_ROWS}")
+    return rows.join(F.broadcast(files), "file").select(
+        (F.col("before") + F.col("row") + 1).alias("entry_id"), *(f.name for f in stored)
+    )

@@ -6,20 +6,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from glossweave.operators.search import closest_or_search, query_keys
+from glossweave.operators.search import as_index, closest_or_search, query_keys
+from glossweave.operators.search_index import IndexPointer, SearchIndex
 from glossweave.plans.lexicon import parse_lexicon, with_key
 from glossweave.sources.lines import _without_bom
 
 
 def stream_lookup(
-    terms: DataFrame, lexicon: DataFrame, path: str, checkpoint: str, **kw
+    terms: DataFrame, lexicon: DataFrame | SearchIndex | IndexPointer, path: str, checkpoint: str, **kw
 ) -> StreamingQuery:
-    """Answer each arriving term (query_id, term): its closest match or a
-    search, appended to a Parquet table. The batch number is part of the folder,
-    so a batch that is run again after a failure replaces its own rows."""
+    """Answer each arriving term (query_id, term) by a stored index: its closest
+    match or a search, appended to a Parquet table.
+
+    A pointer is read anew by each batch, so an index that is published while
+    the stream runs answers from the next batch on. Keys, postings and ranks are
+    read as they are stored, none is computed in a batch; a lexicon table is
+    indexed once, before the first. The batch number is part of the folder, so a
+    batch that is run again after a failure replaces its own rows."""
+    held = lexicon if isinstance(lexicon, IndexPointer) else as_index(lexicon)
 
     def answer(batch: DataFrame, batch_id: int) -> None:
-        found = closest_or_search(query_keys(batch), lexicon, **kw)
+        index = held.open(batch.sparkSession) if isinstance(held, IndexPointer) else held
+        found = closest_or_search(query_keys(batch), index, **kw)
         found.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return (
