@@ -546,8 +546,8 @@ SQL["stm3_quota_report_stream"] = SQL["stm3_quota_report"]
 
 add(
     src1_read_lines_in_order=f"with {LINES} select doc_id, line_no, line from ln",
-    par3_rejected_blocks=f"""with {LINE_BLOCKS}
-select doc_id, block_no, block from lb where not contains(block,'}}') and mark_at > 0 and w = ''""",
+    par3_rejected_blocks=f"""with {LINES}
+select doc_id, line_no block_no, ', _'||line block from ln where line_no % 2 = 1 and not contains(line,'}}')""",
     ana4_leftover_brackets_of_tags="""
 select page_id, word, count(*) n
 from (select page_id, unnest(string_split(translate(html,'<>','[]'),' ')) word from pages)
@@ -569,12 +569,12 @@ rn as (select entry_id, refs, list_filter(string_split(definition,'_'), lambda x
 st(entry_id, refs, r, run_no, n, c, ref_no, hit_run, start) as (
   select entry_id, refs, r, 1, 0, 1, null::int, null::int, null::int from rn
   union all
-  select entry_id, refs, r, case when at > 0 then run_no else run_no + 2 end, case when at > 0 then n + 1 else n end,
-         case when at > 0 then at + length(refs[n + 1])::int else 1 end,
-         case when at > 0 then n end, case when at > 0 then run_no end, case when at > 0 then at - 1 end
+  select entry_id, refs, r, case when hit > 0 then run_no else run_no + 2 end, case when hit > 0 then n + 1 else n end,
+         case when hit > 0 then hit + length(refs[n + 1])::int else 1 end,
+         case when hit > 0 then n end, case when hit > 0 then run_no end, case when hit > 0 then hit - 1 end
   from (select *, (case when refs[n + 1] = '' then c
                         when strpos(substr(r[run_no + 1], c), refs[n + 1]) > 0
-                        then c - 1 + strpos(substr(r[run_no + 1], c), refs[n + 1]) else 0 end)::int at
+                        then c - 1 + strpos(substr(r[run_no + 1], c), refs[n + 1]) else 0 end)::int hit
         from st where n < len(refs) and run_no < len(r)))
 select entry_id, ref_no, refs[ref_no + 1] reference, hit_run run_no, start from st where ref_no is not null""",
     sim11_graph_recall=f"""{VECTORS}

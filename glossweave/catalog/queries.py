@@ -354,8 +354,10 @@ def par3_reject_empty(spark, d):
 
 @query
 def par3_rejected_blocks(spark, d):
-    """Lines read as blocks: those whose headword is empty."""
-    rejected = P.rejected_blocks(_line_blocks(spark, d))
+    """Lines read as blocks, every second one with its mark put before the word:
+    those whose headword is empty."""
+    moved = F.when(F.col("block_no") % 2 == 1, F.concat(F.lit(", _"), "block")).otherwise(F.col("block"))
+    rejected = P.rejected_blocks(_line_blocks(spark, d).withColumn("block", moved))
     return rejected.where("reject_reason = 'empty_word'").select("doc_id", "block_no", "block")
 
 
