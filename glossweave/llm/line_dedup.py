@@ -1,8 +1,9 @@
 """Line dedup by site-relative frequency.
 
 A line (trimmed of white space) is boilerplate of its host when it stands on
-more than `ratio` of the host's pages, and on `min_pages` of them at least. Such
-lines are dropped from every page of the host; all other lines stay in order.
+more than `ratio` of the host's pages, and on `min_pages` of them at least: two,
+so that the lines of a host with one page are not all boilerplate. Such lines
+are dropped from every page of the host; all other lines stay in order.
 
 Pages are counted per host with map-side sums, lines are made distinct inside
 their page, so a hot line or host is a partial count before it moves. The
@@ -25,7 +26,8 @@ from glossweave.llm.columns import guarded
 from glossweave.session import cut_lineage
 
 RATIO = 0.05
-MIN_PAGES = 10
+# once on one page is no repetition
+MIN_PAGES = 2
 BROADCAST_BYTES = 16 << 20
 SALTS = 64
 

@@ -114,17 +114,17 @@ def judge(
     few = rules.limit(max_trie_rules + 1).collect()
 
     def judged(given: DataFrame) -> DataFrame:
+        # the url is read from a copy: its own column may be named like a result
+        copied = given.withColumn("_url", F.col(url_column))
         host, path = host_and_path(F.col("_url"))
-        found = given.withColumns({"host": host, "path": path})
+        found = copied.withColumns({"host": host, "path": path})
         if len(few) <= max_trie_rules:
             found = _by_trie(found, [tuple(r) for r in few])
         else:
             found = _by_join(found, rules)
         return found.withColumn("verdict", F.coalesce("verdict", F.lit(default)))
 
-    # the url is read from a copy: its own column may be named like a result
-    copied = urls.withColumn("_url", F.col(url_column))
-    return guarded(copied, ["_url"], judged, ["host", "path", "rule", "verdict"]).drop("_url")
+    return guarded(urls, [url_column], judged, ["host", "path", "rule", "verdict"])
 
 
 def _by_trie(urls: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:

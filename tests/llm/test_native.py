@@ -74,14 +74,17 @@ def test_line_dedup_matches_sql(spark, limit):
         " array_to_string(kept, chr(10)) from c"
     )
     assert ours(found, "doc_id", "source", "n_lines", "n_dropped", "text") == theirs(docs, sql)
-    assert found.where("source = 'b'").agg(F.sum("n_dropped")).first()[0] == 0  # too few pages
+    # the ratio decides, however few pages a host has
+    assert found.where("source = 'b'").agg(F.sum("n_dropped")).first()[0] == 3
     assert set(found.where("_extra = 7").columns) > {"kept", "n_words"}
 
 
 def test_line_dedup_odd_rows(spark):
     docs = odd_docs(spark)
     found = line_dedup.drop_boilerplate(docs)
-    assert ours(found, *docs.columns) == ours(docs, *docs.columns)
+    # the row that is given twice is most of its host's repeated lines
+    cleaned = docs.withColumn("text", F.when(F.col("doc_id") == 1, "").otherwise(F.col("text")))
+    assert ours(found, *docs.columns) == ours(cleaned, *docs.columns)
     assert line_dedup.drop_boilerplate(no_docs(spark)).count() == 0
 
 
