@@ -5,8 +5,11 @@ neighbours whose joint bytes have a rank, the pair with the lowest rank (the
 leftmost of equals) is merged, until none has. Decoding concatenates the bytes
 of the ids.
 
-Pieces of all texts are counted. Distinct pieces that make up at least 2^-20 of
-all (2^20 at most), and have at most `LONG` bytes, are encoded once, by Spark higher-order functions: a fold
+Pieces of all texts are counted, by their words: a text is cut at its spaces, and
+a task matches each distinct word once. (A piece that takes part of two words, or
+none, is counted otherwise; the counts say only which pieces are common.) Distinct
+pieces that make up at least 2^-20 of all (2^20 at most), and have at most `LONG`
+bytes, are encoded once, by Spark higher-order functions: a fold
 over the piece's byte array, with the ranks as a literal. A literal map is
 searched from its start, so the literal is an array of small maps, one per hash
 of the joint bytes. The result, of bounded size, travels with the tasks that put
@@ -26,7 +29,6 @@ import heapq
 import json
 from collections import Counter
 from collections.abc import Iterator
-from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -46,8 +48,6 @@ PIECE_SHARE = 1 << 20
 HELD = 1 << 17
 #: Bytes of a piece beyond which a heap merges it.
 LONG = 64
-#: Merged pieces that a worker keeps beside the common ones.
-RARE = 1 << 16
 RANK_BUCKETS = 1 << 13
 
 
@@ -154,29 +154,46 @@ class Merger:
         none = 1 << 40
         tokens = self.single[np.frombuffer(b"".join(pieces), np.uint8)]
         piece = np.repeat(np.arange(len(pieces)), [len(p) for p in pieces])
+
+        def offered(at: np.ndarray) -> np.ndarray:
+            """Rank of each token joined with the next."""
+            found = np.full(len(at), none, np.int64)
+            inside = at + 1 < len(tokens)
+            a = at[inside]
+            keys = tokens[a].astype(np.uint64) << self.shift | tokens[a + 1].astype(np.uint64)
+            found[inside] = np.where(piece[a] == piece[a + 1], self.whole[self.pairs.find(keys)], none)
+            return found
+
+        offer = offered(np.arange(len(tokens)))
         done_piece, done_token = [], []
-        while len(tokens):
-            keys = tokens[:-1].astype(np.uint64) << self.shift | tokens[1:].astype(np.uint64)
-            offer = np.full(len(tokens), none, np.int64)
-            offer[:-1] = np.where(piece[:-1] == piece[1:], self.whole[self.pairs.find(keys)], none)
+        while True:
             starts = np.flatnonzero(np.r_[True, piece[1:] != piece[:-1]])
             best = np.minimum.reduceat(offer, starts)
             sizes = np.diff(np.r_[starts, len(tokens)])
-            spread = np.repeat(best, sizes)
-            over = spread == none
+            over = np.repeat(best == none, sizes)
             done_piece.append(piece[over])
             done_token.append(tokens[over])
-            hits = np.flatnonzero((offer == spread) & ~over)
+            best, sizes, open_ = best[best != none], sizes[best != none], ~over
+            tokens, piece, offer = tokens[open_], piece[open_], offer[open_]
+            if not len(tokens):
+                break
+            hits = np.flatnonzero(offer == np.repeat(best, sizes))
             # the leftmost of each piece
-            hits = hits[np.r_[True, piece[hits][1:] != piece[hits][:-1]]] if len(hits) else hits
+            hits = hits[np.r_[True, piece[hits][1:] != piece[hits][:-1]]]
             tokens[hits] = offer[hits]
-            keep = ~over
+            keep = np.ones(len(tokens), bool)
             keep[hits + 1] = False
-            tokens, piece = tokens[keep], piece[keep]
+            tokens, piece, offer = tokens[keep], piece[keep], offer[keep]
+            # only the merged token and the one before it have other neighbours
+            at = hits - np.arange(len(hits))
+            offer[at] = offered(at)
+            before = at[at > 0] - 1
+            offer[before] = offered(before)
         pieces_, tokens_ = np.concatenate(done_piece), np.concatenate(done_token)
         order = np.argsort(pieces_, kind="stable")
-        cuts = np.searchsorted(pieces_[order], np.arange(1, len(pieces)))
-        return [x.tolist() for x in np.split(tokens_[order], cuts)]
+        cuts = np.searchsorted(pieces_[order], np.arange(len(pieces) + 1)).tolist()
+        ids = tokens_[order].tolist()
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
 
     def by_heap(self, piece: bytes) -> list[int]:
         ranks, n = self.ranks, len(piece)
@@ -207,21 +224,28 @@ class Merger:
 
 
 def _counted(pattern: str):
+    """Counts of the pieces of words: a text is cut at its spaces, and each
+    distinct word is matched once, with a space before it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, held = regex.compile(pattern).findall, Counter()
+        find, words = regex.compile(pattern).findall, Counter()
 
         def rows():
+            held: dict[str, int] = {}
+            for word, n in words.items():
+                for piece in find(" " + word):
+                    held[piece] = held.get(piece, 0) + n
             return pa.RecordBatch.from_arrays(
                 [pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["piece", "n"]
             )
 
         for batch in batches:
             for text in text_column(batch, "text").to_pylist():
-                held.update(find(text))
-                if len(held) > HELD:
+                words.update(text.split(" "))
+                if len(words) > HELD:
                     yield rows()
-                    held.clear()
-        if held:
+                    words.clear()
+        if words:
             yield rows()
 
     return run
@@ -250,57 +274,24 @@ def piece_table(docs: DataFrame, ranks: dict[bytes, int], pattern: str, share: i
 
 
 class Encoder:
-    """Encodes texts, piece by piece: the common ones by the table; others are
-    merged when they are met, and `RARE` of them are kept for the texts after."""
+    """Encodes the texts of a task."""
 
     def __init__(self, rank_data: bytes, pattern: str, common: bytes):
         """The rank file's content; the piece table as an Arrow stream."""
         self.ranks = parse_ranks(rank_data)
         self.find, self.merger = regex.compile(pattern).findall, Merger(self.ranks)
-        self.ids: dict[str, str] = {}
+        self.common = {}
         for batch in pa.ipc.open_stream(common):
-            self.ids.update(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-        self.rare: list[str] = []
-        # tokens of each piece, and their bytes, once a text is decoded
-        self.sizes: dict[str, int] = {}
-        self.bytes: dict[str, bytes] = {}
-
-    def pieces(self, texts: list[str]) -> list[list[str]]:
-        """Pieces of each text; the ids of all of them are known afterwards."""
-        found = [self.find(t) for t in texts]
-        if len(self.rare) > RARE:
-            for known in (self.ids, self.sizes, self.bytes):
-                for p in self.rare:
-                    known.pop(p, None)
-            self.rare = []
-        new = list(set().union(*found).difference(self.ids))
-        merged = self.merger.encode([p.encode() for p in new])
-        self.ids.update((p, ",".join(map(str, i))) for p, i in zip(new, merged))
-        self.rare += new
-        return found
+            self.common.update(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
 
     def encode(self, texts: list[str]) -> list[str]:
         """Ids of each text, as decimal numbers joined by commas."""
-        return [",".join(map(self.ids.__getitem__, pieces)) for pieces in self.pieces(texts)]
-
-    def round_trip(self, texts: list[str]) -> Iterator[tuple[str, int, bytes]]:
-        """Ids of each text, how many, and the bytes that they decode to. The ids
-        of a piece are decoded when it is first met."""
-        found = self.pieces(texts)
-        for piece in set().union(*found).difference(self.bytes):
-            numbers = self.ids[piece].split(",")
-            self.sizes[piece] = len(numbers)
-            self.bytes[piece] = b"".join([self.tokens[int(i)] for i in numbers])
-        for pieces in found:
-            yield (
-                ",".join(map(self.ids.__getitem__, pieces)),
-                sum(map(self.sizes.__getitem__, pieces)),
-                b"".join(map(self.bytes.__getitem__, pieces)),
-            )
-
-    @cached_property
-    def tokens(self) -> dict[int, bytes]:
-        return {rank: token for token, rank in self.ranks.items()}
+        found = [self.find(t) for t in texts]
+        common = self.common
+        rare = list(set().union(*found).difference(common))
+        ids = self.merger.encode([p.encode() for p in rare])
+        known = {p: ",".join(map(str, i)) for p, i in zip(rare, ids)}
+        return [",".join([common.get(p) or known[p] for p in pieces]) for pieces in found]
 
 
 _LAST: list = []
@@ -367,13 +358,16 @@ def digests(docs: DataFrame, rank_file: str, pattern: str, share: int = PIECE_SH
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared)
+        piece_of = {str(rank): token for token, rank in encoder.ranks.items()}.__getitem__
         for batch in batches:
             for part in slices(batch, "text"):
+                made = encoder.encode(text_column(part, "text").to_pylist())
                 sizes, hashes, decoded = [], [], []
-                for ids, size, raw in encoder.round_trip(text_column(part, "text").to_pylist()):
-                    sizes.append(size)
+                for ids in made:
+                    numbers = ids.split(",") if ids else []
+                    sizes.append(len(numbers))
                     hashes.append(hashlib.sha256(ids.encode()).hexdigest())
-                    decoded.append(hashlib.sha256(raw).hexdigest())
+                    decoded.append(hashlib.sha256(b"".join(map(piece_of, numbers))).hexdigest())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(hashes), pa.array(decoded)],
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
