@@ -1,22 +1,33 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Weights are whole units of one period: `period` slots, shared out by largest
-remainder, one unit at least for a source with a positive weight. Block i of a
-source with u units is released at slot floor(i * period / u) and due by slot
-ceil((i + 1) * period / u). In each slot the released block with the earliest
-deadline goes (ties: the source first in name). The units of all sources fill
-the period, so every block meets its window, and after any number of slots each
-source has had its share to less than one block. Windows repeat every period,
-so block i of a source takes slot(i mod u) + period * (i div u): one table of
-`period` rows serves any amount of data, and nothing is scheduled row by row.
+A block is `block_docs` documents of a source. With the exact weight w of its
+source, block i is released at slot floor(i / w) and due by slot
+ceil((i + 1) / w); in each slot the released block with the earliest deadline goes
+(ties: the source first in name), or, where none is released, the one due first.
+A block in its window is less than one block away from its weight. Windows come
+from the exact weights, so nothing drifts however long the mix is.
+
+Slots are scheduled in periods of about `period`, which do not depend on each
+other: block i belongs to the period in which w * t + phase passes i + 1, and a
+period is as long as its blocks are many. Each is folded in a row of its own, with
+the sources that have a block in it (no more than it has slots), so any number of
+sources can be mixed. Blocks of large sources (`HEAVY`) go to the nearer period;
+the phases of small ones differ, so that they do not come due together. Where
+many windows cross the border of two periods, a block may be put a few slots
+beyond its window: its source is then that much of its weight further away.
 
 The default target is the natural share of each source, held to at most
 `max_share`. The mix lasts as long as every source keeps up its weight; what a
-source has beyond that quota is not mixed (`mixed` false). To the default target
-only the sources held down have such a rest, all others are mixed whole. Documents are numbered inside their source by the order of
+source has beyond that quota is not mixed (`mixed` false, no slot, no position).
+To the default target only the sources held down have such a rest, all others
+are mixed whole. Documents are numbered inside their source by the order of
 md5(doc_id), doc_id; a source is cut into buckets by that hash, in proportion to
 its size, so a hot source is ranked by many tasks.
 
+The schedule has a row for each source and period. It travels with the tasks up
+to `BROADCAST_SLOTS` slots, which are counted first; beyond, it meets the
+documents by source and period, so a hot source is as many groups as periods.
+
 Null sources are a source of their own. Repeated rows are numbered each. Rows of
 a source without target are not mixed. Extra columns stay; columns named like a
 result (n_in_source, block, slot, position, mixed) are replaced.
@@ -34,6 +45,13 @@ PERIOD = 1024
 BLOCK_DOCS = 1
 MAX_SHARE = 0.25
 BUCKET_DOCS = 4_096
+BROADCAST_SLOTS = 2_000_000
+#: Periods whose lengths are added up in one place.
+STRETCH = 4_096
+#: Multiples of it are spread evenly between whole numbers.
+GOLDEN = 0.6180339887498949
+#: Sources of this share and more have their blocks in the nearer period.
+HEAVY = 0.01
 RESULTS = ("n_in_source", "block", "slot", "position", "mixed")
 
 
@@ -51,71 +69,119 @@ def target_weights(docs: DataFrame, max_share: float = MAX_SHARE) -> DataFrame:
     )
 
 
-def units(weights: DataFrame, period: int = PERIOD) -> DataFrame:
-    """(source, units), by largest remainder, summing to the period."""
+def shares(target: DataFrame, block_docs: int = BLOCK_DOCS) -> DataFrame:
+    """(source, share, phase, reach, quota) of a target (source, n_docs, weight).
+    The mix reaches as far as the source with the fewest documents for its weight
+    lasts; to the default target that is all sources but those held back."""
     every = Window.partitionBy()
-    share = F.col("weight") / F.sum("weight").over(every)
-    free = period - F.count("*").over(every)
-    exact = weights.where(F.col("weight") > 0).withColumn("_exact", share * free)
-    whole = exact.withColumn("_whole", F.floor("_exact"))
-    left = period - F.sum(F.col("_whole") + 1).over(every)
-    rank = F.row_number().over(
-        Window.partitionBy().orderBy((F.col("_exact") - F.col("_whole")).desc(), F.col("source").asc_nulls_first())
+    order = Window.partitionBy().orderBy(F.col("weight").desc(), F.col("source").asc_nulls_first())
+    reach = F.min(F.col("n_docs") / F.col("share")).over(every)
+    return (
+        target.withColumn("share", F.col("weight") / F.sum("weight").over(every))
+        .withColumn("phase", F.when(F.col("share") >= HEAVY, 0.5).otherwise(((F.row_number().over(order) - 0.5) * GOLDEN) % 1.0))
+        .withColumn("reach", reach)
+        .select(
+            "source", "share", "phase", F.ceil(F.col("reach") / block_docs).alias("reach"),
+            F.least(F.ceil(F.col("share") * F.col("reach") - F.lit(1e-6)), F.col("n_docs")).alias("quota"),
+        )
+    )
+
+
+def _begun(p: Column, period: int) -> Column:
+    """Blocks that a source has before period p."""
+    return F.floor(F.col("share") * (p * period) + F.col("phase"))
+
+
+def _period_of(block: Column, period: int) -> Column:
+    """The period of a block, corrected where division has rounded."""
+    near = F.floor((block + 1 - F.col("phase")) / (F.col("share") * period))
+    near = F.greatest(near, F.lit(0))
+    return F.when(_begun(near, period) > block, near - 1).when(_begun(near + 1, period) <= block, near + 1).otherwise(near)
+
+
+def schedule(share_table: DataFrame, period: int = PERIOD) -> DataFrame:
+    """(source, p, begun, slots): the slots, in all, of the blocks that each source
+    has in each period, from its block `begun` on."""
+    zero = F.lit(0).cast("long")
+    last = F.ceil(F.col("reach") / period).cast("long") + 1
+    # a source with less than a block in a period is read by its blocks
+    dense = F.col("share") * period >= 1
+    steps = F.when(dense, last).otherwise(_begun(last + 1, period) - 1)
+    counted = (
+        share_table.withColumn("_last", last)
+        .where(steps >= 0)
+        .withColumn("_step", F.explode(F.sequence(zero, steps)))
+        .withColumn("p", F.when(dense, F.col("_step")).otherwise(_period_of(F.col("_step"), period)))
+        .where(F.col("p") <= F.col("_last"))
+        .select("source", "share", "phase", "p")
+        .distinct()
+        .withColumn("begun", _begun(F.col("p"), period))
+        .withColumn("n", _begun(F.col("p") + 1, period) - F.col("begun"))
+        .where("n > 0")
     )
-    return whole.withColumns({"_left": left, "_rank": rank}).select(
-        "source",
-        (F.col("_whole") + 1 + F.when(F.col("_rank") <= F.col("_left"), 1).otherwise(0)).cast("int").alias("units"),
+    periods = counted.groupBy("p").agg(
+        F.sum("n").alias("length"), F.sort_array(F.collect_list(F.struct("source", "n", "begun", "share"))).alias("s")
     )
+    periods = cut_lineage(periods)
+    picks = _earliest_deadlines(F.col("s"), F.col("length"), F.col("start"))
+    folded = periods.join(_starts(periods), "p").withColumn("picks", picks)
+    # the picks of a period, gathered by source
+    slots = F.transform(
+        "s",
+        lambda x, i: F.struct(
+            x["source"].alias("source"),
+            x["begun"].alias("begun"),
+            F.transform(F.filter(F.col("picks"), lambda y: y["i"] == i), lambda y: y["slot"] + F.col("start")).alias("slots"),
+        ),
+    )
+    return folded.select("p", F.explode(slots).alias("x")).select("x.source", "p", "x.begun", "x.slots")
 
 
-def period_slots(unit_table: DataFrame, period: int = PERIOD) -> DataFrame:
-    """(source, turn, slot): the earliest-deadline-first schedule of one period,
-    folded over its slots in one row of bounded size."""
-    sources = unit_table.groupBy().agg(
-        F.sort_array(F.collect_list(F.struct("source", "units"))).alias("s")
+def _starts(periods: DataFrame) -> DataFrame:
+    """(p, start): slots before each period."""
+    staged = periods.select("p", "length", F.floor(F.col("p") / STRETCH).alias("stretch"))
+    sums = staged.groupBy("stretch").agg(F.sum("length").alias("n"))
+    so_far = Window.partitionBy().orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select("stretch", F.coalesce(F.sum("n").over(so_far), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("stretch").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        staged.withColumn("inside", F.coalesce(F.sum("length").over(inside), F.lit(0)))
+        .join(bases, "stretch")
+        .select("p", (F.col("base") + F.col("inside")).alias("start"))
     )
-    n = F.size("s")
+
+
+def _earliest_deadlines(sources: Column, length: Column, begin: Column) -> Column:
+    """array<struct<i, slot>>: which source each slot of a period, the first of
+    which is `begin` of all, goes to, folded over the slots of one row of bounded
+    size."""
 
     def step(state: Column, t: Column) -> Column:
         done = state["done"]
 
         def due(x: Column, i: Column) -> Column:
-            k, u = F.get(done, i), x["units"]
-            released = F.floor(k * period / u) <= t
-            return F.when(
-                (k < u) & released,
-                F.struct(F.ceil((k + 1) * period / u).cast("long").alias("due"), i.alias("i")),
-            )
-
-        best = F.array_min(F.transform(F.col("s"), due))
+            k = x["begun"] + F.get(done, i)
+            early = F.floor(k / x["share"]) > begin + t
+            due = F.ceil((k + 1) / x["share"]).cast("long")
+            return F.when(F.get(done, i) < x["n"], F.struct(early.alias("early"), due.alias("due"), i.alias("i")))
+
+        best = F.array_min(F.transform(sources, due))
         return F.element_at(
             F.transform(
                 F.array(best),
                 lambda b: F.struct(
                     F.transform(done, lambda k, i: F.when(i == b["i"], k + 1).otherwise(k)).alias("done"),
-                    F.concat(
-                        state["out"],
-                        F.array(F.struct(b["i"].alias("i"), F.get(done, b["i"]).alias("turn"), t.alias("slot"))),
-                    ).alias("out"),
+                    F.concat(state["out"], F.array(F.struct(b["i"].alias("i"), t.alias("slot")))).alias("out"),
                 ),
             ),
             1,
         )
 
     start = F.struct(
-        F.transform("s", lambda x: F.lit(0)).alias("done"),
-        F.array().cast("array<struct<i:int,turn:int,slot:int>>").alias("out"),
-    )
-    folded = F.aggregate(F.sequence(F.lit(0), F.lit(period - 1)), start, step, lambda a: a["out"])
-    return (
-        sources.where(n > 0)
-        .select("s", F.explode(folded).alias("x"))
-        .select(
-            F.get("s", F.col("x.i"))["source"].alias("source"),
-            F.col("x.turn").alias("turn"),
-            F.col("x.slot").alias("slot"),
-        )
+        F.transform(sources, lambda x: F.lit(0).cast("long")).alias("done"),
+        F.array().cast("array<struct<i:int,slot:bigint>>").alias("out"),
     )
+    return F.aggregate(F.sequence(F.lit(0).cast("long"), length - 1), start, step, lambda a: a["out"])
 
 
 def numbered(docs: DataFrame, bucket_docs: int = BUCKET_DOCS) -> DataFrame:
@@ -153,6 +219,7 @@ def mix(
     block_docs: int = BLOCK_DOCS,
     bucket_docs: int = BUCKET_DOCS,
     max_share: float = MAX_SHARE,
+    broadcast_slots: int = BROADCAST_SLOTS,
 ) -> DataFrame:
     """`docs` with n_in_source, block, slot, position and mixed. Ordered by
     position, the mixed rows are the interleaved corpus."""
@@ -164,53 +231,38 @@ def mix(
             F.col("source").eqNullSafe(F.col("_s")),
         ).select("source", "n_docs", "weight")
     # a row per source: written once, as the quota and the schedule must agree
-    target = cut_lineage(target.where(F.col("weight") > 0))
-    sources = target.count()
-    if sources > period:
-        raise ValueError(f"{sources} sources need a period of as many slots at least")
-    every = Window.partitionBy()
-    # the mix is as long as the source with the fewest documents for its weight
-    # lasts; to the default target that is all sources but those held back
-    reach = F.min(F.col("n_docs") / F.col("weight")).over(every)
-    quota = target.select(
-        F.col("source").alias("_q"), F.least(F.ceil(F.col("weight") * reach - F.lit(1e-6)), F.col("n_docs")).alias("_quota")
-    )
-    u = units(target, period)
-    slots = (
-        period_slots(u, period)
-        .join(u.withColumnRenamed("source", "_u"), F.col("source").eqNullSafe(F.col("_u")))
-        .join(quota, F.col("source").eqNullSafe(F.col("_q")))
-        .select(F.col("source").alias("_s"), "turn", F.col("slot").alias("_slot"), "units", "_quota")
-    )
-    # at most `period` rows, whatever the data
-    table = F.broadcast(cut_lineage(slots.groupBy("_s", "units", "_quota").agg(
-        F.transform(
-            F.sort_array(F.collect_list(F.struct("turn", "_slot"))), lambda x: x["_slot"]
-        ).alias("_slots")
-    )))
+    known = cut_lineage(shares(target.where(F.col("weight") > 0), block_docs))
+    reach = known.agg(F.max("reach")).first()[0] or 0
+    slots = cut_lineage(schedule(known, period))
     return guarded(
-        docs, ["doc_id", "source"], lambda d: _placed(d, table, period, block_docs, bucket_docs), RESULTS
+        docs,
+        ["doc_id", "source"],
+        lambda d: _placed(d, known, slots, reach <= broadcast_slots, period, block_docs, bucket_docs),
+        RESULTS,
     )
 
 
-def _placed(docs: DataFrame, table: DataFrame, period: int, block_docs: int, bucket_docs: int) -> DataFrame:
-    block = F.floor(F.col("n_in_source") / block_docs)
-    return (
+def _placed(
+    docs: DataFrame, known: DataFrame, slots: DataFrame, small: bool, period: int, block_docs: int, bucket_docs: int
+) -> DataFrame:
+    sources = known.withColumnRenamed("source", "_s").drop("reach")
+    few = sources.count() <= 100_000
+    placed = (
         numbered(docs, bucket_docs)
-        .join(table, F.col("source").eqNullSafe(F.col("_s")), "left")
-        .withColumn("block", block)
-        .withColumn(
-            "slot",
-            F.get("_slots", (F.col("block") % F.col("units")).cast("int"))
-            + F.floor(F.col("block") / F.col("units")) * period,
-        )
-        .withColumns(
-            {
-                "position": F.col("slot") * block_docs + F.col("n_in_source") % block_docs,
-                "mixed": F.coalesce(F.col("n_in_source") < F.col("_quota"), F.lit(False)),
-            }
-        )
-        .drop("_s", "units", "_quota", "_slots")
+        .join(F.broadcast(sources) if few else sources, F.col("source").eqNullSafe(F.col("_s")), "left")
+        .withColumn("block", F.floor(F.col("n_in_source") / block_docs))
+        .withColumn("mixed", F.coalesce(F.col("n_in_source") < F.col("quota"), F.lit(False)))
+        .withColumn("_at", F.when(F.col("mixed"), _period_of(F.col("block"), period)))
+        .drop("_s", "share", "phase", "quota")
+    )
+    table = slots.select(F.struct("source").alias("_of"), F.col("p").alias("_p"), "begun", "slots")
+    met = placed.withColumn("_own", F.struct("source")).join(
+        F.broadcast(table) if small else table, (F.col("_own") == F.col("_of")) & (F.col("_at") == F.col("_p")), "left"
+    )
+    return (
+        met.withColumn("slot", F.get("slots", (F.col("block") - F.col("begun")).cast("int")))
+        .withColumn("position", F.col("slot") * block_docs + F.col("n_in_source") % block_docs)
+        .drop("_at", "_of", "_own", "_p", "begun", "slots")
     )
 
 

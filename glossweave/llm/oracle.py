@@ -2,7 +2,7 @@
 
 from glossweave.llm.decontamination import WINDOW
 from glossweave.llm.line_dedup import MIN_PAGES, RATIO
-from glossweave.llm.mixing import BLOCK_DOCS, MAX_SHARE, PERIOD
+from glossweave.llm.mixing import BLOCK_DOCS, GOLDEN, HEAVY, MAX_SHARE, PERIOD
 from glossweave.llm.quality_rules import RULES, STOP_WORDS
 
 SQL: dict[str, str] = {}
@@ -91,34 +91,38 @@ MIXED = f"""
 with recursive n as (select source, count(*) n_docs from {{docs}} group by source),
 s as (select source, n_docs, least(n_docs / sum(n_docs) over (), greatest({MAX_SHARE}, 1 / count(*) over ())) x from n),
 w as (select source, n_docs, x / sum(x) over () weight from s),
-e as (select source, n_docs, weight, weight / sum(weight) over () * ({PERIOD} - count(*) over ()) ex from w),
-l as (select *, {PERIOD} - sum(floor(ex) + 1) over () lft,
-      row_number() over (order by ex - floor(ex) desc, source nulls first) rk,
-      min(n_docs / weight) over () reach from e),
-u as (select source, (floor(ex) + 1 + case when rk <= lft then 1 else 0 end)::int units,
-      least(ceil(weight * reach - 1e-6), n_docs)::bigint quota, row_number() over (order by source nulls first) i from l),
-a as (select list(units order by i) us from u),
-p(t, pick, turn, done) as (
-  select -1, 0, 0, list_transform(us, lambda x: 0) from a
+v as (select source, n_docs, weight / sum(weight) over () share,
+        ((row_number() over (order by weight desc, source nulls first) - 0.5::double) * {GOLDEN}::double) % 1.0::double golden from w),
+u as (select *, case when share >= {HEAVY}::double then 0.5::double else golden end phase, min(n_docs / share) over () reach, row_number() over (order by source nulls first) i from v),
+q as (select *, least(ceil(share * reach - 1e-6), n_docs)::bigint quota from u),
+m as (select (ceil(ceil(max(reach) / {BLOCK_DOCS}) / {PERIOD}) + 1)::bigint last_p from q),
+c as (select * from (select i, p, share, floor(share * (p * {PERIOD}) + phase)::bigint begun,
+        floor(share * ((p + 1) * {PERIOD}) + phase)::bigint - floor(share * (p * {PERIOD}) + phase)::bigint n
+      from q, (select unnest(range(last_p + 1)) p from m)) where n > 0),
+g as (select p, list(i order by i) si, list(n order by i) ns, list(begun order by i) bs, list(share order by i) ws, sum(n)::bigint len from c group by p),
+b as (select *, (sum(len) over (order by p) - len)::bigint start from g),
+r(p, t, pick, turn, done) as (
+  select p, -1, 0, 0::bigint, list_transform(ns, lambda x: 0::bigint) from b
   union all
-  select t + 1, best, done[best], list_transform(done, lambda x, j: x + case when j = best then 1 else 0 end)
-  from (select t, done, (list_min(list_transform(us, lambda x, j:
-      case when done[j] < x and floor(done[j] * {PERIOD} / x) <= t + 1
-      then ceil((done[j] + 1) * {PERIOD} / x)::bigint * 100000 + j end)) % 100000)::int best
-    from p, a where t + 1 < {PERIOD})),
+  select p, t + 1, best, done[best], list_transform(done, lambda x, j: x + case when j = best then 1 else 0 end)
+  from (select r.p, t, done, (list_min(list_transform(ns, lambda x, j:
+      case when done[j] < x then (case when floor((bs[j] + done[j]) / ws[j]) > start + t + 1 then 1000000000000 else 0 end
+        + ceil((bs[j] + done[j] + 1) / ws[j])::bigint) * 100000 + j end)) % 100000)::int best
+    from r join b on r.p = b.p where t + 1 < len)),
 k as (select doc_id, source, row_number() over (partition by source
       order by md5(coalesce(doc_id::varchar, '')), doc_id nulls first) - 1 n_in_source from {{docs}}),
-b as (select k.*, n_in_source // {BLOCK_DOCS} as block, u.i, u.units, u.quota
-      from k left join u on k.source is not distinct from u.source),
-x as (select b.doc_id, b.source, n_in_source, block, (p.t + block // units * {PERIOD})::bigint slot,
-      n_in_source < quota mixed
-      from b left join p on p.pick = b.i and p.turn = b.block % b.units and p.t >= 0)
+d as (select k.*, n_in_source // {BLOCK_DOCS} as block, q.i, coalesce(n_in_source < q.quota, false) mixed
+      from k left join q on k.source is not distinct from q.source),
+x as (select d.doc_id, d.source, n_in_source, block, (b.start + r.t)::bigint slot, mixed
+      from d left join c on d.mixed and c.i = d.i and d.block >= c.begun and d.block < c.begun + c.n
+      left join b on b.p = c.p
+      left join r on r.p = c.p and r.t >= 0 and b.si[r.pick] = d.i and r.turn = d.block - c.begun)
 """
 
 SQL["op6_mix_sources"] = (
     MIXED.format(docs="documents")
     + f"""select doc_id, source, n_in_source, block, slot, slot * {BLOCK_DOCS} + n_in_source % {BLOCK_DOCS} as position,
-    coalesce(mixed, false) mixed from x"""
+    mixed from x"""
 )
 
 SQL["op11_hard_negatives"] = """

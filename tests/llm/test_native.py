@@ -3,6 +3,7 @@
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 from cases import PLAIN, doc, DOCS, no_docs, odd_docs
 from pyspark.sql import functions as F
@@ -142,19 +143,40 @@ def test_mixing_matches_sql(spark, bucket):
     assert set(docs.columns) < set(found.columns)
 
 
+def worst_deviation(order, shares):
+    """Largest distance, after any slot, of a source's blocks from its share."""
+    t = np.arange(1, len(order) + 1)
+    return max(np.abs(np.cumsum(order == s) - w * t).max() for s, w in shares.items())
+
+
 def test_mixing_deviates_by_less_than_a_block(spark):
-    weights = {"a": 0.5, "b": 0.3, "c": 0.15, "d": 0.05}
-    table = spark.createDataFrame([(s, w) for s, w in weights.items()], "source string, weight double")
-    units = {r.source: r.units for r in mixing.units(table, 64).collect()}
-    assert sum(units.values()) == 64
-    slots = mixing.period_slots(mixing.units(table, 64), 64).collect()
-    assert sorted(r.slot for r in slots) == list(range(64))
-    by_slot = {r.slot: r.source for r in slots}
-    done = Counter()
-    for t in range(64):
-        done[by_slot[t]] += 1
-        assert all(abs(done[s] - (t + 1) * u / 64) < 1 for s, u in units.items())
-    assert all(u - 1 < w * 64 + 1 for u, w in ((units[s], w) for s, w in weights.items()))
+    # 100,000 blocks by weights that no period of whole units holds
+    shares = {"a": 0.5, "b": 0.25, "c": 0.1234567, "d": 0.0765433, "e": 0.0499, "f": 0.0001}
+    docs = spark.range(300_000).select(
+        F.col("id").alias("doc_id"), F.element_at(F.array(*map(F.lit, shares)), (F.col("id") % 6 + 1).cast("int")).alias("source")
+    )
+    weights = spark.createDataFrame(list(shares.items()), "source string, weight double")
+    found = mixing.mix(docs, weights).where("mixed").select("slot", "source").orderBy("slot").toPandas()
+    # at the end of the mix a few slots are of blocks that are not there
+    assert len(found) >= 99_990 and (np.diff(found["slot"][:99_990]) == 1).all()
+    whole = {s: w / sum(shares.values()) for s, w in shares.items()}
+    assert worst_deviation(found["source"].to_numpy(), whole) < 1
+
+
+def test_mixing_of_thousands_of_sources(spark):
+    docs = spark.range(30_000).select(
+        F.col("id").alias("doc_id"),
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 2999)).alias("source"),
+    )
+    for options in ({"max_share": 1.0}, {"max_share": 1.0, "broadcast_slots": 0}):
+        found = mixing.mix(docs, **options).toPandas()
+        assert found["mixed"].all() and found["position"].is_unique and len(found) == 30_000
+        order = found.sort_values("position")["source"].to_numpy()
+        shares = {s: n / len(order) for s, n in Counter(order).items()}
+        assert len(shares) == 3000
+        # a third of 2,999 windows that cross a border of periods is in the way
+        assert worst_deviation(order, {s: w for s, w in shares.items() if s != "hot"}) < 1.1
+        assert worst_deviation(order, {"hot": shares["hot"]}) < 3
 
 
 def test_mixing_blocks_and_order(spark):
@@ -169,5 +191,6 @@ def test_mixing_blocks_and_order(spark):
     assert {r["source"]: r["count"] for r in kept}["big"] < 400
     assert mixing.mix(no_docs(spark)).count() == 0
     assert mixing.mix(odd_docs(spark)).count() == odd_docs(spark).count()
-    with pytest.raises(ValueError):
-        mixing.mix(docs, period=4)
+    # more sources than a period has slots
+    short = mixing.mix(docs, period=4, max_share=1.0).collect()
+    assert len({r.position for r in short}) == docs.count() and all(r.mixed for r in short)
