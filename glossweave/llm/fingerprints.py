@@ -10,7 +10,10 @@ A fingerprint is the prefix array at block borders: `<chars>:<step>:<hashes>`,
 `step` the smallest power of two that leaves at most `BLOCKS` blocks, so borders
 of a coarser fingerprint are borders of a finer one. `likeness` finds the runs
 of equal aligned blocks by the same binary search and gives their share of the
-longer text. Equal texts have equal fingerprints and likeness 1; unequal texts
+longer text. Blocks are aligned, so text that is put in or taken out moves all
+after it: where the prefix arrays are at hand (`near`), what the texts have in
+common from their beginnings on and from their ends back counts as well, wherever
+it stands. Equal texts have equal fingerprints and likeness 1; unequal texts
 collide with a chance of about 2^-60.
 
 Null and empty texts have the fingerprint of no characters, and are alike among
@@ -146,6 +149,37 @@ def likeness(one: str, other: str) -> float:
     return same / max(n, m)
 
 
+def shared_ends(a: PrefixHashes, b: PrefixHashes) -> float:
+    """Share of the longer text that both begin and end with, 0 to 1. The ends are
+    compared at different places: their hashes differ by a power of the base."""
+    shorter, longer = min(a.n, b.n), max(a.n, b.n)
+    if not longer:
+        return 1.0
+    sums = list(zip(a.sums, b.sums))
+
+    def begin(k: int) -> bool:
+        return all((int(x[k]) - int(y[k])) % PRIME == 0 for x, y in sums)
+
+    first = _longest(shorter, begin)
+    if first == longer:
+        return 1.0
+    moved = [pow(base, longer - shorter, PRIME) for base in BASES]
+    x_moves, y_moves = (moved, (1, 1)) if a.n < b.n else ((1, 1), moved)
+
+    def end(k: int) -> bool:
+        return all(
+            ((int(x[a.n]) - int(x[a.n - k])) * p - (int(y[b.n]) - int(y[b.n - k])) * q) % PRIME == 0
+            for (x, y), p, q in zip(sums, x_moves, y_moves)
+        )
+
+    return (first + _longest(shorter - first, end)) / longer
+
+
+def near(a: PrefixHashes, one: str, b: PrefixHashes, other: str) -> float:
+    """Likeness of two texts by their prefix arrays and fingerprints."""
+    return 1.0 if one == other else max(likeness(one, other), shared_ends(a, b))
+
+
 def with_fingerprint(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` with n_chars and fingerprint: one narrow pass."""
 
@@ -255,8 +289,8 @@ def _pair(this, following) -> tuple:
         hashlib.sha256(edited.encode()).hexdigest(),
         fingerprint,
         edited_fingerprint,
-        likeness(fingerprint, edited_fingerprint),
-        likeness(fingerprint, following[5]),
+        near(hashes, fingerprint, edited_hashes, edited_fingerprint),
+        near(hashes, fingerprint, following[4], following[5]),
     )
 
 

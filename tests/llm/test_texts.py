@@ -116,6 +116,34 @@ def test_likeness():
     assert fingerprints.PrefixHashes(fingerprints.code_points(text[3000:]), head, 3000).fingerprint() == one
 
 
+def common_ends(a, b):
+    """Characters that both begin and end with, none counted twice."""
+    first = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    rest = min(len(a), len(b)) - first
+    last = next((k for k in range(rest) if a[-1 - k] != b[-1 - k]), rest)
+    return (first + last) / max(len(a), len(b)) if a or b else 1.0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("abé", max_size=40), st.text("abé", max_size=40), st.text("abé", max_size=40))
+def test_shared_ends(a, b, c):
+    for one, other in ((a, b), (a + b, a + c + b), (a + b, b), (a, a + c), (a + c + b, a + b), ("", a), (a, a)):
+        assert fingerprints.shared_ends(hashes(one), hashes(other)) == common_ends(one, other)
+
+
+def test_moved_text_is_near():
+    text = "".join(random.Random(2).choices("abcdefgh ", k=5000))
+
+    def near(a, b):
+        x, y = hashes(a), hashes(b)
+        return fingerprints.near(x, x.fingerprint(), y, y.fingerprint())
+
+    assert near(text, text) == 1
+    for other in ("#" + text, text[1:], text[:700] + " put in " + text[700:], text[:3000] + text[3010:], text + "#"):
+        assert 0.99 < near(text, other) < 1 and near(text, other) == near(other, text)
+    assert near(text, text[::-1]) < 0.01
+
+
 def compared(docs):
     rows = sorted(
         ((r.doc_id, r.text or "") for r in docs.collect()), key=lambda r: (r[0] is None, -(r[0] or 0), r[1])
@@ -123,14 +151,22 @@ def compared(docs):
     for k, (doc_id, text) in enumerate(rows):
         following = rows[(k + 1) % len(rows)][1]
         cut = len(text) // 3
-        yield doc_id, len(text), sha(text[: len(text) - cut] + following[:cut]), hashes(text).fingerprint()
+        edited = text[: len(text) - cut] + following[:cut]
+        own = hashes(text).fingerprint()
+        likes = (
+            1.0 if text == t else max(common_ends(text, t), fingerprints.likeness(own, hashes(t).fingerprint()))
+            for t in (edited, following)
+        )
+        yield doc_id, len(text), sha(edited), own, *likes
 
 
 @pytest.mark.parametrize("take", [20, 1, 0])
 def test_compare_edited(spark, take):
     docs = odd_docs(spark).limit(take) if take else no_docs(spark)
     found = fingerprints.compare_edited(docs).collect()
-    got = sorted(repr((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint)) for r in found)
+    got = sorted(
+        repr((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.near_edited, r.near_next)) for r in found
+    )
     assert got == sorted(map(repr, compared(docs)))
 
 
