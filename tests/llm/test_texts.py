@@ -432,6 +432,8 @@ def test_drop_near_copies(spark):
 def test_connected_components(spark):
     chain = [(k, k + 1) for k in range(60)] + [(100, 101), (100, 100), (7, 7), (200, 150), (150, 200)]
     edges = spark.createDataFrame(chain, "a long, b long")
-    found = {r.node: r.component for r in connected_components(edges).collect()}
-    assert found == {**{k: 0 for k in range(61)}, 100: 100, 101: 100, 150: 150, 200: 150}
-    assert connected_components(edges.where("false")).count() == 0
+    # at once, by rounds to the end, and by rounds until few edges are left
+    for local in (1000, 0, 20):
+        found = {r.node: r.component for r in connected_components(edges, local).collect()}
+        assert found == {**{k: 0 for k in range(61)}, 100: 100, 101: 100, 150: 150, 200: 150}
+        assert connected_components(edges.where("false"), local).count() == 0
