@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossweave.llm.columns import guarded
-from glossweave.session import cut_lineage
+from glossweave.session import cut_lineage, spread
 
 PERIOD = 1024
 BLOCK_DOCS = 1
@@ -124,7 +124,8 @@ def schedule(share_table: DataFrame, period: int = PERIOD) -> DataFrame:
     )
     periods = cut_lineage(periods)
     picks = _earliest_deadlines(F.col("s"), F.col("length"), F.col("start"))
-    folded = periods.join(_starts(periods), "p").withColumn("picks", picks)
+    # few bytes, much work: all tasks take part
+    folded = spread(periods.join(_starts(periods), "p"), "p").withColumn("picks", picks)
     # the picks of a period, gathered by source
     slots = F.transform(
         "s",
