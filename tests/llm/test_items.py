@@ -7,9 +7,8 @@ import zlib
 
 import numpy as np
 import pytest
-from cases import DOCS, PLAIN, doc, no_docs, odd_docs, rows
+from cases import DOCS, doc, no_docs, odd_docs, rows
 from pyspark.sql import functions as F
-from test_native import theirs
 
 import duckdb
 

@@ -1,6 +1,5 @@
 """Rows told apart by more than their id, and columns named like results."""
 
-import pytest
 from cases import DOCS, PLAIN, doc, odd_docs, rows
 from pyspark.sql import functions as F
 
