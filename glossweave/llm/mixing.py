@@ -124,8 +124,10 @@ def schedule(share_table: DataFrame, period: int = PERIOD) -> DataFrame:
     )
     periods = cut_lineage(periods)
     picks = _earliest_deadlines(F.col("s"), F.col("length"), F.col("start"))
-    # few bytes, much work: all tasks take part
-    folded = spread(periods.join(_starts(periods), "p"), "p").withColumn("picks", picks)
+    # few bytes, much work: all tasks take part. Dealt by p, as the join has dealt
+    # them, the rows would stay in the task or two that their bytes are worth
+    dealt = spread(periods.join(_starts(periods), "p").withColumn("_deal", F.xxhash64("p")), "_deal")
+    folded = dealt.withColumn("picks", picks)
     # the picks of a period, gathered by source
     slots = F.transform(
         "s",
