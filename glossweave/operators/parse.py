@@ -406,8 +406,12 @@ def _level(entries: DataFrame, start: DataFrame, piece: int) -> DataFrame:
 
     begin = F.when(F.col("before").isNull(), F.col("text")).otherwise(_settled(F.concat("text", "before")))
     zero = F.struct(begin.alias("text"), F.array().alias("done")).cast(state)
+    # dealt by other columns than the joins, which would keep it in few tasks
+    dealt = F.xxhash64("doc_id", "run", "at")
     resolved = (
-        spread(held.join(begun.select(*key, "text"), key).join(before, [*key, "at"], "left"), *key, "at")
+        spread(
+            held.join(begun.select(*key, "text"), key).join(before, [*key, "at"], "left").withColumn("_deal", dealt), "_deal"
+        )
         .select(*key, F.aggregate(steps, zero, step, lambda s: s["done"]).alias("done"))
         .select(*key, F.explode("done").alias("d"))
         .select(*key, "d.k", "d.resolved")
