@@ -85,7 +85,13 @@ def _create(spark: SparkSession, file: str, text: str) -> bool:
     at, fs = _fs(spark, file)
     fs.mkdirs(at.getParent())
     try:
-        stream = fs.create(at, False)
+        local = fs.getScheme() == "file"
+        if local:
+            # Hadoop looks and then creates on local disks: take the name first
+            java = spark._jvm.java.nio.file
+            none = spark._sc._gateway.new_array(java.attribute.FileAttribute, 0)
+            java.Files.createFile(java.Paths.get(at.toUri().getPath(), spark._sc._gateway.new_array(spark._jvm.String, 0)), none)
+        stream = fs.create(at, local)
     except Exception:
         if fs.exists(at):
             return False
