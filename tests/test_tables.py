@@ -10,7 +10,7 @@ from glossweave.operators import embeddings as V
 from glossweave.operators import markup as M
 from glossweave.operators import store as S
 from glossweave.operators.search import query_keys
-from glossweave.plans.lexicon import ORDER_COLUMNS, parse_lexicon, with_key
+from glossweave.plans.lexicon import ORDER_COLUMNS, parse_lexicon, ranged_texts, with_key
 from glossweave.sources.lines import read_lexicon
 from glossweave.streaming import jobs as J
 
@@ -29,6 +29,19 @@ def test_ids_follow_source_order(lexicon):
     assert [(r.word, r.definition, r.referenced_words) for r in rows] == golden.LONG_ENTRIES
 
 
+def test_ranged_texts_are_parsed_once(spark, tmp_path):
+    """The same lexicon from texts in ranges, without a range exchange of entries."""
+    rows = [(i * 37 % 50, golden.LONG_TEXT) for i in range(50)] + [(7, golden.LONG_TEXT), (None, golden.LONG_TEXT)]
+    texts = spark.createDataFrame(rows, "doc_id bigint, text string")
+    ranged = with_key(parse_lexicon(ranged_texts(texts)))
+    for name, df, known in (("sorted", with_key(parse_lexicon(texts)), False), ("ranged", ranged, True)):
+        S.write_lexicon(df, str(tmp_path / name), ORDER_COLUMNS, known)
+    a, b = (read_lexicon(spark, str(tmp_path / n)).orderBy("entry_id").collect() for n in ("sorted", "ranged"))
+    assert a == b and [r.entry_id for r in b] == list(range(1, 52 * 52 + 1))
+    plan = ranged.sortWithinPartitions(*ORDER_COLUMNS)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("Generate") < plan.index("Exchange")
+
+
 def test_ids_over_many_partitions(spark):
     df = spark.range(0, 5000, numPartitions=13).select(
         F.expr("(id * 7919) % 5003").alias("v")
