@@ -48,6 +48,34 @@ def test_few_keys_are_touched():
     assert sum(seen) < 0.02 * 50 * len(names)
 
 
+@pytest.mark.parametrize("k, threshold, inclusive", [(3, None, True), (1, 0.75, True), (2, 0.75, False), (None, 0.6, True)])
+def test_tiles_equal_single_queries(monkeypatch, k, threshold, inclusive):
+    """Queries of several tiles, with ties, against blocks of which one is small."""
+    made = sorted({"".join(rng.choices("abcd n", k=rng.randint(1, 12))) for _ in range(900)})
+    parts = [sorted(made[at::3], key=lambda x: (len(x), x)) for at in range(3)] + [["b"]]
+    blocks = [P.KeyBlock(P.pack(i, part)) for i, part in enumerate(parts)]
+    asked = [*made[:300], "zq", "a" * 60]
+    tiled = P.Search(asked, k, threshold, inclusive)
+    monkeypatch.setattr(P, "TILED", len(asked) + 1)
+    single = P.Search(asked, k, threshold, inclusive)
+    rows = []
+    for search, count in ((tiled, P.TILED - 1), (single, P.TILED)):
+        monkeypatch.setattr(P, "TILED", count)
+        found = [search.block(b) for b in blocks]
+        rows.append([f and sorted(zip(*f)) for f in found])
+    assert rows[0] == rows[1] and rows[0][0]
+
+
+def test_packs_carry_their_bounds(spark):
+    """What a pack of queries has found bounds the blocks after it: far fewer rows
+    leave the tasks than k for each query and block."""
+    names = sorted({"".join(rng.choices("abcde", k=rng.randint(3, 9))) for _ in range(1500)})
+    blocks = I.key_blocks(frame(spark, names, "key"), block_keys=20).cache()
+    n = blocks.count()
+    rows = I.search_blocks(frame(spark, names[:60], "q_key"), blocks, 5, broadcast_queries=20).count()
+    assert n >= 60 and 60 * 5 <= rows < 0.6 * 60 * 5 * n
+
+
 @pytest.mark.parametrize("options", [{}, {"broadcast_queries": 3}])
 @pytest.mark.parametrize("k, threshold", [(7, None), (3, 0.5), (1, 0.75)])
 def test_blocks_equal_brute_force(spark, tmp_path, options, k, threshold):

@@ -150,6 +150,26 @@ def test_closest_units_and_fallback(spark):
         assert mine == ({"exact"} if brute(term, 1, 0.7) else {"search"})
 
 
+def test_queries_that_share_an_id(spark):
+    """Equal queries count once by word and each by closest; an id with two keys is
+    one query; entries are taken by key before they are joined."""
+    lex = entries(spark)
+    asked = spark.createDataFrame(
+        [(1, "abc"), (1, "abc"), (2, "a"), (2, "xiston"), (3, "abc"), (None, "eddd"), (4, None)], "query_id int, q_key string"
+    )
+    near = S.find_matches(asked.distinct(), lex, 6).collect()
+    words = S.find_by_word(asked, lex, 4, "entry", nearest=6).collect()
+    close = S.find_closest(asked, lex, 0.5, unit="entry", max_hits=6).collect()
+    for i in (1, 2, 3, None):
+        mine = [r for r in near if r.query_id == i]
+        got = [r for r in words if r.query_id == i]
+        assert {r.word for r in got} == {r.word for r in mine} and len(got) == len({r.word for r in got})
+        assert sorted(r["rank"] for r in got) == list(range(1, len(got) + 1))
+    assert len([r for r in close if r.query_id == 1]) == 2 * len([r for r in close if r.query_id == 3]) > 0
+    plan = S.find_matches(asked, lex, 6)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_before" in plan and "row_number" not in plan.split("_before")[0]
+
+
 def test_autocomplete_and_links(spark):
     lex = entries(spark)
     rows = S.autocomplete(queries(spark), lex, 3).collect()
