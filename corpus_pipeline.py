@@ -1,13 +1,15 @@
 """Documents to token ids: quality rules, line dedup, near copies, mix, BPE.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before
-has kept; all but the last return the columns of `documents`.
+has kept; all but the last return the columns of `documents`. The last numbers the
+documents by the order of the mix.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glossweave.llm import bpe, jaccard, line_dedup, mixing, quality_rules
@@ -43,10 +45,33 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, source, n_tokens, ids)."""
+    """(position, doc_id, source, n_tokens, ids): the ids of the documents at the
+    places that the mix has given them, from 0."""
     ship_package(spark)
-    encoded = bpe.encode(docs.select("doc_id", "source", "text"), RANK_FILE, public_tokenizers.PATTERN)
-    return encoded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    placed = _in_files(docs)
+    files = placed.groupBy(F.col("_file").alias("_f")).agg(F.count("*").alias("_n"))
+    part = F.regexp_extract("_f", r"^part-(\d+)", 1).cast("long")
+    # one row for each file
+    before = Window.orderBy(part, "_f").rowsBetween(Window.unboundedPreceding, -1)
+    files = files.select("_f", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    encoded = bpe.encode(placed.select("_file", "_row", "doc_id", "source", "text"), RANK_FILE, public_tokenizers.PATTERN)
+    return encoded.join(F.broadcast(files), F.col("_file") == F.col("_f")).select(
+        (F.col("_before") + F.col("_row")).alias("position"),
+        "doc_id",
+        "source",
+        F.size("ids").cast("long").alias("n_tokens"),
+        "ids",
+    )
+
+
+def _in_files(docs: DataFrame) -> DataFrame:
+    """`docs` with the file of each row and its row there; rows that were not read
+    from files have their partition's."""
+    try:
+        return docs.withColumns({"_file": F.col("_metadata.file_name"), "_row": F.col("_metadata.row_index")})
+    except AnalysisException:
+        part = F.concat(F.lit("part-"), F.spark_partition_id().cast("string"))
+        return docs.withColumns({"_file": part, "_row": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
 
 
 STAGES = [

@@ -72,3 +72,15 @@ def test_the_mix_keeps_a_hot_source_whole(spark):
     docs = spark.createDataFrame(rows, DOCS)
     mixed = dict(corpus_pipeline.STAGES)["mix_sources"](spark, docs, SMALL)
     assert sorted(map(repr, mixed.collect())) == sorted(map(repr, docs.collect()))
+
+
+def test_tokens_stand_in_the_order_of_the_mix(spark, tmp_path):
+    rows = [doc(i, f"text {i}", f"s{i % 7 % 3}") for i in range(200)]
+    docs = spark.createDataFrame(rows, DOCS)
+    stages = dict(corpus_pipeline.STAGES)
+    want = [r.doc_id for r in mixing.mix(docs, max_share=1.0).orderBy("position").collect()]
+    mixed = stages["mix_sources"](spark, docs, SMALL)
+    mixed.write.parquet(str(tmp_path / "mixed"))
+    for source in (spark.read.parquet(str(tmp_path / "mixed")), mixed):
+        out = stages["byte_bpe"](spark, source, SMALL).orderBy("position").collect()
+        assert [r.position for r in out] == list(range(200)) and [r.doc_id for r in out] == want
