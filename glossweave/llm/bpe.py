@@ -286,12 +286,28 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[str]:
         """Ids of each text, as decimal numbers joined by commas."""
+        return [",".join(ids) for ids in self.by_piece(texts)]
+
+    def by_piece(self, texts: list[str]) -> list[list[str]]:
+        """The same for each piece of each text."""
         found = [self.find(t) for t in texts]
         common = self.common
         rare = list(set().union(*found).difference(common))
         ids = self.merger.encode([p.encode() for p in rare])
         known = {p: ",".join(map(str, i)) for p, i in zip(rare, ids)}
-        return [",".join([common.get(p) or known[p] for p in pieces]) for pieces in found]
+        return [[common.get(p) or known[p] for p in pieces] for pieces in found]
+
+
+class Decoded(dict):
+    """Bytes of ids that are decimal numbers joined by commas: those of a piece are
+    decoded once, not wherever it stands."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.piece_of = {str(rank): token for token, rank in ranks.items()}.__getitem__
+
+    def __missing__(self, ids: str) -> bytes:
+        self[ids] = found = b"".join(map(self.piece_of, ids.split(",")))
+        return found
 
 
 _LAST: list = []
@@ -358,16 +374,18 @@ def digests(docs: DataFrame, rank_file: str, pattern: str, share: int = PIECE_SH
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared)
-        piece_of = {str(rank): token for token, rank in encoder.ranks.items()}.__getitem__
+        decode = Decoded(encoder.ranks)
         for batch in batches:
             for part in slices(batch, "text"):
-                made = encoder.encode(text_column(part, "text").to_pylist())
+                made = encoder.by_piece(text_column(part, "text").to_pylist())
                 sizes, hashes, decoded = [], [], []
-                for ids in made:
-                    numbers = ids.split(",") if ids else []
-                    sizes.append(len(numbers))
+                for pieces in made:
+                    ids = ",".join(pieces)
+                    sizes.append(ids.count(",") + 1 if ids else 0)
                     hashes.append(hashlib.sha256(ids.encode()).hexdigest())
-                    decoded.append(hashlib.sha256(b"".join(map(piece_of, numbers))).hexdigest())
+                    decoded.append(hashlib.sha256(b"".join(map(decode.__getitem__, pieces))).hexdigest())
+                if len(decode) > HELD:
+                    decode.clear()
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(hashes), pa.array(decoded)],
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
