@@ -11,7 +11,7 @@ from glossweave.operators import markup as M
 from glossweave.operators import store as S
 from glossweave.operators.search import query_keys
 from glossweave.plans.lexicon import ORDER_COLUMNS, parse_lexicon, ranged_texts, with_key
-from glossweave.sources.lines import read_lexicon
+from glossweave.sources.lines import lines_below, read_lexicon
 from glossweave.streaming import jobs as J
 
 
@@ -42,6 +42,18 @@ def test_ranged_texts_are_parsed_once(spark, tmp_path):
     assert plan.count("Exchange") == 1 and plan.index("Generate") < plan.index("Exchange")
 
 
+def test_lines_below_their_marks(spark):
+    """Marks inside a chunk and from chunks before, without a join by file alone."""
+    rows = [("f", n, f"@{n}" if n in (3, 4, 40) else f"x{n}") for n in range(60)] + [("g", 5, "y"), ("h", 0, "@9"), ("h", 99, "z")]
+    lines = spark.createDataFrame(rows, "file string, line_no bigint, line string")
+    number = F.regexp_extract("line", r"^@(\d+)$", 1)
+    found = lines_below(lines, "file", number != "", number.cast("bigint"), chunk=8)
+    want = [("f", n, 4 if n < 40 else 40) for n in range(5, 60) if n != 40] + [("h", 99, 9)]
+    assert sorted((r.file, r.line_no, r.of) for r in found.collect()) == want
+    joins = [x for x in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in x]
+    assert len(joins) == 1 and "_chunk" in joins[0]
+
+
 def test_ids_over_many_partitions(spark):
     df = spark.range(0, 5000, numPartitions=13).select(
         F.expr("(id * 7919) % 5003").alias("v")
