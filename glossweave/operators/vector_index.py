@@ -10,8 +10,11 @@ angle to the pivot, a ring that is still larger (many copies) by id.
 difference of their angles to the pivot, so a block whose ring is far enough from
 the query's angle holds nothing that reaches a score. Each query first searches
 the block where it could score best; the k-th score found there is its floor, and
-of all other blocks it meets only those whose bound reaches the floor. Blocks that
-no query meets are not read.
+of all other blocks it meets only those whose bound reaches the floor. Blocks lie
+in slots of `SLOT_BLOCKS`: a query travels once to every slot in which it meets a
+block, and what it finds there raises its floor for the blocks after. Only scores
+from the floor on leave a task, k of a query at most. Slots that no query meets
+are not read.
 
 **Approximate search.** Each block has a graph: items are linked with their
 nearest neighbours, both ways, and with a few random ones. A query walks the
@@ -34,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glossweave.session import scratch_path
+from glossweave.session import scratch_path, shuffle_partitions
 
 SAMPLE = 20_000
 BLOCK_ITEMS = 4_096
@@ -42,6 +45,10 @@ BLOCK_ITEMS = 4_096
 MOST_BLOCKS = 100_000
 MOST_PIVOTS = 1_024
 QUERY_PART = 4_096
+#: Blocks of a slot, most queries that meet a slot in one task, and the fewest.
+SLOT_BLOCKS = 16
+SWEEP_PART = 65_536
+LEAST_PART = 256
 ROUNDS = 4
 # angles and scores are compared with this much to spare
 SLACK = 2e-6
@@ -298,12 +305,153 @@ def _exact(k: int, by_group: bool):
     return work
 
 
+def _slots_met(queries: DataFrame, index: VectorIndex, slot_blocks: int) -> DataFrame:
+    """(query_id, embedding, floor, home, slot) of the slots in which each query
+    meets a block besides its home, by its floor."""
+    pivots, summary = index.pivots, index.summary
+    kind = queries.schema["embedding"].dataType.simpleString()
+    first = np.arange(0, len(summary), slot_blocks)
+    step = max(1, 1_000_000 // max(1, len(summary)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows if len(summary) else 0, step):
+                batch = whole.slice(at, step)
+                bounds = _bounds(unit_rows(_matrix(batch.column(1))), pivots, summary)
+                home = bounds.argmax(1)
+                met = bounds + SLACK >= batch.column(2).to_numpy(zero_copy_only=False)[:, None]
+                met[np.arange(len(met)), home] = False
+                row, slot = np.nonzero(np.logical_or.reduceat(met, first, axis=1))
+                rows = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [*(c.take(rows) for c in batch.columns), pa.array(summary["block"][home[row]]), pa.array(slot)],
+                    names=["query_id", "embedding", "floor", "home", "slot"],
+                )
+
+    return queries.select("query_id", "embedding", "floor").mapInArrow(
+        run, f"query_id bigint, embedding {kind}, floor double, home bigint, slot bigint"
+    )
+
+
+class _Sweep:
+    """Queries against one block after another, each above its own floor; keeps
+    the k best of each (`by_group`: the best item of the k best groups)."""
+
+    def __init__(self, ids: np.ndarray, unit: np.ndarray, floor: np.ndarray, k: int, by_group: bool):
+        self.ids, self.unit, self.floor, self.k, self.by_group = ids, unit, floor.copy(), k, by_group
+        self.codes: dict[str, int] = {}
+        self.query, self.item, self.group = (np.zeros(0, np.int64) for _ in range(3))
+        self.score = np.zeros(0)
+
+    def block(self, row: dict, asked: np.ndarray) -> None:
+        ids, vectors = _block_of(row)
+        unit, group, found = unit_rows(vectors), np.arange(len(ids)), []
+        if self.by_group:
+            group = np.array([self.codes.setdefault(repr(g), len(self.codes)) for g in row["groups"]], np.int64)
+        step = max(1, 1_000_000 // len(ids))
+        for at in range(0, len(asked), step):
+            some = asked[at : at + step]
+            # scores are rounded: they may be half a unit of the sixth place higher
+            q, col, score = self._above(self.unit[some] @ unit.T, self.floor[some] - 1e-6, group)
+            score = _rounded(score)
+            good = score >= self.floor[some[q]]
+            q, col, score = q[good], col[good], score[good]
+            if len(q):
+                found.append(self._best(some[q], ids[col], group[col], score))
+        if not found:
+            return
+        query, item, group, score = (np.concatenate(c) for c in zip(*found))
+        mine = np.isin(self.query, query)
+        held = self.query, self.item, self.group, self.score
+        best = self._best(*(np.concatenate([old[mine], new]) for old, new in zip(held, (query, item, group, score))))
+        full = np.arange(len(best[0])) - np.searchsorted(best[0], best[0]) == self.k - 1
+        self.floor[best[0][full]] = np.maximum(self.floor[best[0][full]], best[3][full])
+        self.query, self.item, self.group, self.score = (np.concatenate([old[~mine], new]) for old, new in zip(held, best))
+
+    def _above(self, scores: np.ndarray, floor: np.ndarray, group: np.ndarray):
+        """(query, column, score) of what can be among the k best."""
+        if self.by_group:
+            parts = []
+            for g in np.unique(group):
+                mine = np.flatnonzero(group == g)
+                # rounding makes ties, of which the smaller id is wanted
+                here = _rounded(scores[:, mine])
+                best = here.argmax(1)
+                q = np.flatnonzero(here[np.arange(len(here)), best] >= floor)
+                parts.append((q, mine[best[q]], scores[q, mine[best[q]]]))
+            return tuple(np.concatenate(c) for c in zip(*parts))
+        q, col = np.nonzero(scores >= floor[:, None])
+        if len(q) > 4 * self.k * len(scores) and scores.shape[1] > self.k:
+            cut = np.partition(scores, scores.shape[1] - self.k, axis=1)[:, scores.shape[1] - self.k]
+            q, col = np.nonzero(scores >= np.maximum(cut - 1e-6, floor)[:, None])
+        return q, col, scores[q, col]
+
+    def _best(self, query: np.ndarray, item: np.ndarray, group: np.ndarray, score: np.ndarray):
+        order = np.lexsort((item, -score, query))
+        if self.by_group:
+            _, first = np.unique(query[order] * len(self.codes) + group[order], return_index=True)
+            order = order[np.sort(first)]
+        query, item, group, score = query[order], item[order], group[order], score[order]
+        kept = np.arange(len(query)) - np.searchsorted(query, query) < self.k
+        return query[kept], item[kept], group[kept], score[kept]
+
+
+def _swept(queries: DataFrame, index: VectorIndex, k: int, by_group: bool, sweep_part: int, slot_blocks: int) -> DataFrame:
+    """(query_id, vec_id, score) that reach the floor of a query (query_id,
+    embedding, floor) in the blocks besides its home."""
+    spark, pivots, summary = index.spark, index.pivots, index.summary
+    slots = -(-len(summary) // slot_blocks)
+    cores = spark.sparkContext.defaultParallelism
+    tasks = max(shuffle_partitions(spark), 2 * cores)
+    few = -(-2 * cores // max(1, slots))
+    # read twice below: the slots' sizes come first
+    met_at = scratch_path(spark, "slots-met")
+    _slots_met(queries, index, slot_blocks).write.parquet(met_at)
+    met = spark.read.parquet(met_at)
+    parts = F.greatest(F.ceil(F.count("*") / sweep_part), F.least(F.lit(few), F.ceil(F.count("*") / LEAST_PART)))
+    sizes = met.groupBy("slot").agg(parts.alias("parts"))
+    asked = met.join(F.broadcast(sizes), "slot").withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("parts")))
+    place = spark.createDataFrame(
+        [(int(b), at // slot_blocks) for at, b in enumerate(summary["block"])], "block bigint, slot bigint"
+    )
+    held = (
+        index.blocks.join(F.broadcast(place.join(F.broadcast(sizes), "slot")), "block")
+        .withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        .select("block", "ids", "vectors", "groups", "slot", "part")
+    )
+
+    def sweep(left: pa.Table, right: pa.Table) -> pa.Table:
+        empty = np.zeros(0, np.int64)
+        query, item, score = empty, empty, np.zeros(0)
+        if left.num_rows and right.num_rows:
+            unit = unit_rows(_matrix(left.column("embedding").combine_chunks()))
+            home = left.column("home").to_numpy()
+            search = _Sweep(left.column("query_id").to_numpy(), unit, left.column("floor").to_numpy(), k, by_group)
+            here = summary[np.isin(summary["block"], right.column("block").to_numpy())]
+            bounds = np.concatenate([_bounds(unit[at : at + 4_096], pivots, here) for at in range(0, len(unit), 4_096)])
+            for at in range(right.num_rows):
+                row = right.slice(at, 1).to_pylist()[0]
+                bound = bounds[:, np.searchsorted(here["block"], row["block"])]
+                asked_here = np.flatnonzero((bound + SLACK >= search.floor) & (home != row["block"]))
+                if len(asked_here):
+                    search.block(row, asked_here)
+            query, item, score = search.ids[search.query], search.item, search.score
+        return pa.table({"query_id": query, "vec_id": item, "score": score})
+
+    # few bytes, much work: a partition of few groups each, whatever their bytes
+    by = ["slot", "part"]
+    left = asked.select("query_id", "embedding", "floor", "home", *by).repartition(tasks, *by)
+    return left.groupBy(*by).cogroup(held.repartition(tasks, *by).groupBy(*by)).applyInArrow(sweep, SCORES)
+
+
 def pruned_search(
     queries: DataFrame,
     index: VectorIndex,
     k: int = 10,
     groups: DataFrame | None = None,
     query_part: int = QUERY_PART,
+    sweep_part: int = SWEEP_PART,
+    slot_blocks: int = SLOT_BLOCKS,
 ) -> DataFrame:
     """(query_id, vec_id, score, rank): exact k nearest items by cosine, reading
     only blocks that can hold them. With `groups` (vec_id, g) of an index that was
@@ -322,14 +470,7 @@ def pruned_search(
         .agg(F.min("score").alias("low"), F.count("*").alias("n"))
         .select("query_id", F.when(F.col("n") >= k, F.col("low")).otherwise(-2.0).alias("floor"))
     )
-    again = sound.join(floors, "query_id")
-
-    def others(bounds: np.ndarray, floor: np.ndarray) -> np.ndarray:
-        chosen = bounds + SLACK >= floor[:, None]
-        chosen[np.arange(len(bounds)), bounds.argmax(1)] = False
-        return chosen
-
-    rest = _meeting(_pairs(again, index, others), index.blocks, _exact(k, by_group), SCORES, query_part)
+    rest = _swept(sound.join(floors, "query_id"), index, k, by_group, sweep_part, slot_blocks)
     every = found.unionByName(rest)
     if by_group:
         named = every.join(groups, "vec_id")

@@ -50,6 +50,34 @@ def test_pruned_search_is_exact(spark, tmp_path, shape):
     assert rows(found, "label") == rows(E.vector_search(asked(items), items, 3, group_col="label"), "label")
 
 
+def test_search_in_many_slots_and_parts(spark, tmp_path):
+    x = np.random.default_rng(6).normal(size=(700, 16))
+    x[100:260] = x[3]
+    items = item_table(spark, x)
+    index = X.write_vector_index(item_table(spark, x, ODD), str(tmp_path / "index"), "label", block_items=40)
+    assert len(index.summary) > 12
+    options = {"sweep_part": 60, "slot_blocks": 3}
+    for k in (1, 7):
+        assert rows(X.pruned_search(asked(items), index, k, **options)) == rows(E.vector_search(asked(items), items, k))
+    groups = items.select("vec_id", F.col("label").alias("g"))
+    for k in (2, 6):  # more than there are groups
+        found = X.pruned_search(asked(items), index, k, groups, **options).withColumnRenamed("g", "label")
+        assert rows(found, "label") == rows(E.vector_search(asked(items), items, k, group_col="label"), "label")
+
+
+def test_a_query_travels_once_to_a_slot(spark, tmp_path):
+    x = np.random.default_rng(8).normal(size=(600, 16))
+    index = X.write_vector_index(item_table(spark, x), str(tmp_path / "index"), block_items=20)
+    queries = asked(item_table(spark, x)).withColumn("floor", F.lit(-2.0))
+    met = X._slots_met(queries, index, 8)
+    assert len(index.summary) > 24
+    assert met.count() == met.select("query_id", "slot").distinct().count() <= len(x) * -(-len(index.summary) // 8)
+    # what leaves the tasks: k of a query and slot at most, from the floor on
+    found = X._swept(queries, index, 5, False, 200, 8)
+    assert found.groupBy("query_id").count().agg(F.max("count")).first()[0] <= 5 * -(-len(index.summary) // 8)
+    assert X._swept(queries.withColumn("floor", F.lit(0.99)), index, 5, False, 200, 8).where("score < 0.99").count() == 0
+
+
 def test_far_blocks_are_not_read(spark, tmp_path):
     x = clustered(each=100)
     items = item_table(spark, x)
