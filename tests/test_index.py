@@ -114,6 +114,56 @@ def test_ranks_of_a_hot_key(spark):
         assert r.first_word == (r.word == min(x.word for x in rows if x.key == r.key))
 
 
+def test_entries_are_dealt_out_once(spark, tmp_path):
+    """Repeated and missing ids and words are ranked as before; definitions meet
+    one exchange, not one for each rank."""
+    rows = [(i if i % 11 else None, f"k{i % 3}", f"w{i % 4}" if i % 13 else None, f"definition {i}") for i in range(300)]
+    rows += rows[:50]
+    spark.createDataFrame(rows, "entry_id long, key string, word string, definition string").write.parquet(str(tmp_path / "lex"))
+    lex = spark.read.parquet(str(tmp_path / "lex"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        ranked = I.ranked_entries(lex, stretch=30)
+        text = ranked._jdf.queryExecution().executedPlan().toString()
+        found = ranked.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert text.count("REPARTITION_BY_NUM") == 1
+    # above that one exchange of whole entries, there is no other
+    assert "Exchange" not in text[: text.index("REPARTITION_BY_NUM")].rsplit("Exchange", 1)[0]
+    kept = [r for r in rows if r[0] is not None and r[2] is not None]
+    assert sorted((r.entry_id, r.key, r.word, r.definition) for r in found) == sorted(kept)
+    for r in found:
+        # entries without an id are counted before those that have one, by key
+        mine = [x for x in rows if x[1] == r.key]
+        lower = [x for x in mine if x[0] is None or x[0] < r.entry_id]
+        same = [x for x in mine if x[0] == r.entry_id]
+        assert len(lower) < r.key_rank <= len(lower) + len(same)
+        assert r.word_rank > sum(x[2] == r.word for x in lower)
+        assert r.first_word == (r.word == min(x[2] for x in mine if x[2] is not None))
+
+
+def test_few_queries_deal_out_few_entries(spark, tmp_path, monkeypatch):
+    """Their keys travel to the entries; the results are those of many queries."""
+    index = I.write_index(entries(spark), str(tmp_path / "index"))
+    q = queries(spark)
+
+    def found():
+        return [
+            sorted(map(str, df.collect()))
+            for df in (S.find_matches(q, index, 5), S.find_matches(q, index, 5, unit="key"), S.find_by_word(q, index, 5),
+                       S.find_by_word(q, index, 5, unit="key"), S.find_by_word(q, index, unit="entry"),
+                       S.find_closest(q, index, 0.6), S.find_closest(q, index, 0.6, unit="key"), S.autocomplete(q, index, 4))
+        ]
+
+    few = found()
+    text = S.find_matches(q, index, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in text and "LeftSemi" in text
+    monkeypatch.setattr(S, "FEW_QUERIES", 0)
+    assert found() == few and all(few)
+
+
 def test_empty_lexicon_and_odd_entries(spark, tmp_path):
     none = I.write_index(entries(spark).where("false"), str(tmp_path / "none"))
     assert S.find_matches(queries(spark), none).count() == 0
