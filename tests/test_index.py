@@ -154,7 +154,8 @@ def test_few_queries_deal_out_few_entries(spark, tmp_path, monkeypatch):
             sorted(map(str, df.collect()))
             for df in (S.find_matches(q, index, 5), S.find_matches(q, index, 5, unit="key"), S.find_by_word(q, index, 5),
                        S.find_by_word(q, index, 5, unit="key"), S.find_by_word(q, index, unit="entry"),
-                       S.find_closest(q, index, 0.6), S.find_closest(q, index, 0.6, unit="key"), S.autocomplete(q, index, 4))
+                       S.find_closest(q, index, 0.6), S.find_closest(q, index, 0.6, unit="key"), S.autocomplete(q, index, 4),
+                       S.closest_or_search(q, index, 5, 0.6), S.closest_or_search(q, index, 5, 0.6, unit="key"))
         ]
 
     few = found()
@@ -164,6 +165,18 @@ def test_few_queries_deal_out_few_entries(spark, tmp_path, monkeypatch):
     assert found() == few and all(few)
 
 
+def test_groups_have_tasks_of_their_own(spark, monkeypatch):
+    """A pack and a slot are much work: there are more partitions than groups, and
+    the rows are those of queries that travel."""
+    monkeypatch.setattr(I, "SLOT_BLOCKS", 1)
+    q = queries(spark).select("q_key").distinct()
+    blocks = I.key_blocks(entries(spark).select("key").distinct(), 20)
+    many = I.search_blocks(q, blocks, None, 0.3, broadcast_queries=3)
+    groups = -(-q.count() // 3) * blocks.count()
+    assert many.rdd.getNumPartitions() >= 4 * groups > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, I.search_blocks(q, blocks, None, 0.3).collect())) != []
+
+
 def test_empty_lexicon_and_odd_entries(spark, tmp_path):
     none = I.write_index(entries(spark).where("false"), str(tmp_path / "none"))
     assert S.find_matches(queries(spark), none).count() == 0
