@@ -150,6 +150,39 @@ def test_closest_units_and_fallback(spark):
         assert mine == ({"exact"} if brute(term, 1, 0.7) else {"search"})
 
 
+def frequent(spark, monkeypatch):
+    """One key with many queries and many entries, among others."""
+    monkeypatch.setattr(S, "MEET_ROWS", 8)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    asked = [(None, "abc"), (7, "abc"), (7, "abc"), (8, ""), (9, None), (10, "xyz")] + [(i, "abc") for i in range(100, 190)]
+    held = [(i, "abc", f"w{i % 3}", "_d_") for i in range(120)] + [(200, "abd", "abd", "_d_"), (201, "xyz", "xyz", "_d_"), (202, "", "-", "_d_")]
+    return (
+        spark.createDataFrame(asked, "query_id int, q_key string"),
+        spark.createDataFrame(held, "entry_id bigint, key string, word string, definition string"),
+    )
+
+
+def widest(rows):
+    """Rows, and the largest share of them in one place."""
+    places = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    return sum(places), max(places) / sum(places)
+
+
+def test_closest_by_key_of_a_frequent_word(spark, monkeypatch):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        asked, lex = frequent(spark, monkeypatch)
+        found = S.find_closest(asked, lex, 0.75, unit="key").cache()
+        got = sorted((r.query_id or 0, r.q_key, r.key, r.entry_id, r["rank"]) for r in found.collect())
+        want = [(r.query_id or 0, "abc", "abc", e, e + 1) for r in asked.where("q_key = 'abc'").collect() for e in range(120)]
+        assert got == sorted(want + [(10, "xyz", "xyz", 201, 1)])
+        n, share = widest(found)
+        assert n == len(got) and share < 0.6
+        found.unpersist()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_queries_that_share_an_id(spark):
     """Equal queries count once by word and each by closest; an id with two keys is
     one query; entries are taken by key before they are joined."""
