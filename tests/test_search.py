@@ -183,6 +183,24 @@ def test_closest_by_key_of_a_frequent_word(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
+def test_matches_by_key_of_a_frequent_word(spark, monkeypatch):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        asked, lex = frequent(spark, monkeypatch)
+        found = S.find_matches(asked, lex, 2, unit="key").cache()
+        got = sorted((r.query_id or 0, r.key, r["rank"], r.entry_id) for r in found.collect())
+        want = []
+        for r in asked.where("q_key = 'abc'").collect():
+            want += [(r.query_id or 0, "abc", 1, e) for e in range(120)] + [(r.query_id or 0, "abd", 2, 200)]
+        assert [g for g in got if g[0] != 10] == sorted(want)
+        assert {g[1:3] for g in got if g[0] == 10} == {("xyz", 1), ("abc", 2)}
+        n, share = widest(found)
+        assert n == len(got) and share < 0.6
+        found.unpersist()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_queries_that_share_an_id(spark):
     """Equal queries count once by word and each by closest; an id with two keys is
     one query; entries are taken by key before they are joined."""
