@@ -2,11 +2,13 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from glossweave.functions.grams import char_grams, gram_counts, signature
 from glossweave.operators import embeddings as E
+from glossweave.operators import kernel
 from glossweave.operators import search as S
 from glossweave.operators import vectors as V
 
@@ -69,6 +71,28 @@ def test_nearest_keys_equals_brute_force(spark, many, k, threshold):
     assert got == {q: brute(q, k, -1 if threshold is None else threshold) for q in QUERIES}
 
 
+@pytest.mark.parametrize("inclusive", [True, False])
+@pytest.mark.parametrize("threshold", [-1.0, 0.4, 0.75, 1.0])
+def test_blocked_product_scores_only_what_comes_near(monkeypatch, threshold, inclusive):
+    """All pairs that reach a threshold, without a score for every pair."""
+    scored = []
+
+    def counted(cosine):
+        scored.append(np.size(cosine))
+        return rounded(cosine)
+
+    rounded = kernel.rounded
+    monkeypatch.setattr(kernel, "rounded", counted)
+    asked, keys = QUERIES + ["", "z" * 2100], KEYS + ["", "z" * 2100]
+    block = kernel.QueryBlock(kernel.gram_matrix(asked), None, threshold, inclusive)
+    query, at, score = block.best(kernel.gram_matrix(keys))
+    got = [(asked[q], keys[i], s) for q, i, s in zip(query, at, score)]
+    every = [(q, key, cosine(q, key)) for key in keys if key for q in asked if q]
+    assert got == [x for x in every if (x[2] >= threshold if inclusive else x[2] > threshold)]
+    if threshold > 0:
+        assert sum(scored) < len(every) / 2 and len(block.columns) < kernel.DIMS / 10
+
+
 @pytest.mark.parametrize("threshold", [0.4, 0.75])
 def test_postings_equal_brute_force(spark, threshold):
     rows = S.cosine_postings(
