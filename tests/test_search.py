@@ -10,6 +10,7 @@ from glossweave.functions.grams import char_grams, gram_counts, signature
 from glossweave.operators import embeddings as E
 from glossweave.operators import kernel
 from glossweave.operators import search as S
+from glossweave.operators import search_index as I
 from glossweave.operators import vectors as V
 
 rng = random.Random(3)
@@ -104,6 +105,19 @@ def test_postings_equal_brute_force(spark, threshold):
     )
 
 
+def test_postings_of_many_queries_hold_a_block_at_once(spark):
+    """What a group of a pack and a slot finds without k is bounded: the keys of a
+    block, on average, for a pack of queries."""
+    for packs, blocks, cores in ((2, 3, 8), (4, 560, 12), (40, 4_000, 12)):
+        slots, tasks = I._dealt(packs, blocks, None, cores)
+        assert slots == blocks and min(slots * packs, cores) <= tasks <= 8 * max(slots * packs, 4 * cores)
+    blocks = I.key_blocks(frame(spark, KEYS, "key"), 20)
+    rows = I.search_blocks(frame(spark, QUERIES, "q_key"), blocks, None, 0.4, broadcast_queries=2).collect()
+    assert sorted((r.q_key, r.key, r.score) for r in rows) == sorted(
+        (q, key, s) for q in QUERIES for key, s in brute(q, 10**6, 0.4)
+    )
+
+
 def test_closest_keys_with_and_without_shortcut(spark):
     asked = QUERIES + KEYS
     got = {
