@@ -6,6 +6,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from glossweave.llm import bpe, chat, fingerprints, jaccard, ppm, quality_model
 from glossweave.llm.components import connected_components
 from glossweave.llm.queries import RANK_FILE
+from glossweave.session import ship_package
 
 
 def sha(text):
@@ -395,6 +397,21 @@ def test_components_match_brute_force(spark, words, percent, cell):
     assert links
 
 
+def test_shingles_found_once_are_not_mistaken(spark):
+    """Their hashes end like those of frequent shingles, as many do in a large
+    table; a shingle that all sets have is not to connect them."""
+    ship_package(spark)
+    hot, frequent = 5, [(1 << 20) + 3 * k for k in range(9)]
+    once = [[hot] + [(f ^ 1 << 25) + (k + 1 << 28) for f in frequent] for k in range(40)]
+    sets = [(k, s) for k, s in enumerate(once)] + [(100 + k, frequent + [1 << 50]) for k in range(64)]
+    given = [(k, len(s), np.sort(np.array(s, np.uint64)).tobytes()) for k, s in sets]
+    table = spark.createDataFrame(given, "sid long, n int, low binary")
+    often = jaccard.repeated_table(table, 90)
+    assert not often.of(np.array(once, np.uint64)[:, 1:].ravel()).any()
+    assert often.of(np.array([hot, *frequent], np.uint64)).tolist() == [6] * 10
+    assert all(r.a >= 100 and r.b >= 100 for r in jaccard.candidate_edges(table, 90).collect())
+
+
 def test_components_odd_rows(spark):
     docs = odd_docs(spark)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
