@@ -397,10 +397,11 @@ def test_components_match_brute_force(spark, words, percent, cell):
     assert links
 
 
-def test_shingles_found_once_are_not_mistaken(spark):
+def test_shingles_found_once_are_not_mistaken(spark, monkeypatch):
     """Their hashes end like those of frequent shingles, as many do in a large
     table; a shingle that all sets have is not to connect them."""
     ship_package(spark)
+    monkeypatch.setattr(jaccard, "LEAST_BITS", 27, raising=False)  # as a large table has
     hot, frequent = 5, [(1 << 20) + 3 * k for k in range(9)]
     once = [[hot] + [(f ^ 1 << 25) + (k + 1 << 28) for f in frequent] for k in range(40)]
     sets = [(k, s) for k, s in enumerate(once)] + [(100 + k, frequent + [1 << 50]) for k in range(64)]
