@@ -296,3 +296,20 @@ def test_stream_quota_equals_batch(spark, tmp_path):
     streamed = spark.table("quota")
     assert streamed.exceptAll(batch).count() == 0 == batch.exceptAll(streamed).count()
     assert batch.agg(F.max("over_limit")).first()[0] > 0
+
+
+def test_texts_are_read_from_one_folder(spark, tmp_path, monkeypatch):
+    """Every text is a file of its own, with its id, and no folder is made for it."""
+    from glossweave.catalog import queries as Q
+    from glossweave.plans.lexicon import parse_lexicon
+
+    docs = [(k, f"able word {k}\nbaker two\nchance of a line") for k in range(30)] + [(40, None), (41, "")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    books = tmp_path / "books"
+    monkeypatch.setattr(Q, "scratch_path", lambda s, name: str(books))
+    found = Q.src1_read_texts(spark, str(tmp_path))
+    expected = parse_lexicon(Q.texts(spark, str(tmp_path))).select(found.columns)
+    assert sorted(found.collect()) == sorted(expected.collect())
+    assert found.select("doc_id").distinct().count() == 30
+    assert not [p for p in books.iterdir() if p.is_dir()]
+    assert len([p for p in books.iterdir() if p.name.startswith("part-") and p.stat().st_size]) == 30
