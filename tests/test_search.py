@@ -341,3 +341,34 @@ def test_vector_search_with_null_groups(spark):
     assert {r.g for r in found} == {None, "a"}
     nulls = items.where("g is null")
     assert {r.g for r in E.vector_search(asked, nulls, 5, group_col="g").collect()} == {None}
+
+
+def test_pairs_are_compared_in_rounds(spark, tmp_path, monkeypatch):
+    """Every query key meets all keys, and no round has more pairs than it may;
+    what a round has shuffled is gone after it."""
+    from glossweave.catalog import queries as Q
+
+    docs = [(k, " ".join(KEYS[k : k + 40])) for k in range(0, 400, 40)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    turns = [(1, k, "user", " ".join(KEYS[k : k + 6])) for k in range(0, 120, 6)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(
+        str(tmp_path / "conversations.parquet")
+    )
+    whole = Q.sim10_compare_results(spark, str(tmp_path)).collect()
+    pairs = []
+    found = S.in_rounds
+
+    def small(q, keys, answer):
+        def counted(some, all_keys):
+            pairs.append(some.count() * all_keys.count())
+            return answer(some, all_keys)
+
+        return found(q, keys, counted, 2_000)
+
+    monkeypatch.setattr(S, "in_rounds", small)
+    parts = Q.sim10_compare_results(spark, str(tmp_path))
+    assert sorted(parts.collect()) == sorted(whole)
+    assert len(whole) > 40 and parts.columns == ["q_key", "hits_a", "hits_b", "hits_both", "overlap", "max_rank_difference"]
+    # hashing deals the keys out, some more to one round than to another
+    assert len(pairs) > 5 and max(pairs) <= 6_000
+    assert sum(pairs) == len(whole) * Q.word_keys(spark, str(tmp_path)).count()
