@@ -313,3 +313,20 @@ def test_texts_are_read_from_one_folder(spark, tmp_path, monkeypatch):
     assert found.select("doc_id").distinct().count() == 30
     assert not [p for p in books.iterdir() if p.is_dir()]
     assert len([p for p in books.iterdir() if p.name.startswith("part-") and p.stat().st_size]) == 30
+
+
+def test_small_texts_share_tasks(spark, tmp_path):
+    from glossweave.sources.lines import TEXT_TASKS, read_texts
+
+    for k in range(90):
+        (tmp_path / f"t{k}.txt").write_text(f"text {k}\nof two lines")
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        found = read_texts(spark, str(tmp_path)).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    tasks = TEXT_TASKS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len({r.task for r in found}) <= tasks < 90
+    assert sorted(r.text for r in found) == sorted(f"text {k}\nof two lines" for k in range(90))
+    assert len({r.doc_id for r in found}) == 90
